@@ -1,4 +1,4 @@
 """All queries of the library and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import relational, retrieval  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
