@@ -1,4 +1,4 @@
 """All queries of the library and their SQL."""
 
-from . import relational, retrieval  # noqa: F401
+from . import finance, observability, relational, retrieval, text  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
