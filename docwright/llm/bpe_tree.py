@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPLIT, LONG_WORD, LEAF, WORDS_KEPT = 65536, 4096, 4096, 500_000
-OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+OUT = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 _words: dict = {}
@@ -189,7 +189,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, split: int = SPLIT) -
     Texts of up to ``split`` characters are encoded where they are read, without a shuffle. The pieces of longer ones are
     dealt over tasks and meet again by document: a group is one document's pieces.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # Ids go through Python as text, since nulls would turn longs into doubles.
+    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = words_for(tokenizer_path)
@@ -198,8 +199,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, split: int = SPLIT) -
             for i in range(0, len(texts), 128):
                 rows += [(n, *digest(ids, decoded)) for ids, decoded, n in words.many([words_of(t) for t in texts[i : i + 128]])]
             out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy())
-            yield out.astype({"doc_id": "Int64"})
+            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
+            yield out
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = words_for(tokenizer_path)
@@ -212,7 +213,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, split: int = SPLIT) -
         pdf = pdf.sort_values("i")
         tail = [None if pd.isna(t) else t for t in pdf["tail"]]
         ids, decoded, n = join_all(words, list(zip(pdf["head"], pdf["ids"], pdf["decoded"], pdf["n"], tail, strict=True)))
-        return pd.DataFrame([(pdf["doc_id"].iloc[0], n, *digest(ids, decoded))], columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]).astype({"doc_id": "Int64"})
+        return pd.DataFrame([(pdf["doc_id"].iloc[0], n, *digest(ids, decoded))], columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     short = docs.filter(F.length("text") <= split).mapInPandas(whole, OUT)
     long = docs.filter(F.length("text") > split)
@@ -221,5 +222,5 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, split: int = SPLIT) -
     cut = lambda i: F.floor(F.length("text").cast("long") * i / F.col("k")).cast("int")
     long = long.withColumn("k", k).withColumn("row", F.expr("uuid()"))
     pieces = long.select("row", "doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.struct(i.alias("i"), F.substring("text", cut(i) + 1, cut(i + 1) - cut(i)).alias("text")))).alias("p")).select("row", "doc_id", "p.i", "p.text")
-    encoded = pieces.repartition("row", "i").mapInPandas(parts, "row string, doc_id long, i int, head string, ids string, decoded string, n long, tail string")
-    return short.union(encoded.groupBy("row").applyInPandas(joined, OUT))
+    encoded = pieces.repartition("row", "i").mapInPandas(parts, "row string, doc_id string, i int, head string, ids string, decoded string, n long, tail string")
+    return short.union(encoded.groupBy("row").applyInPandas(joined, OUT)).withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -93,7 +93,7 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
     return np.array([mix64(tokens ^ s).min() & np.uint64(255) for s in SEEDS]).astype(np.uint8)
 
 
-SETS = "row long, doc_id long, n int, f1 long, f2 long, s1 long, s2 long, k1 array<long>, p2 array<long>, k2 array<long>, p3 array<long>, k3 array<long>"
+SETS = "row long, doc_id string, n int, f1 long, f2 long, s1 long, s2 long, k1 array<long>, p2 array<long>, k2 array<long>, p3 array<long>, k3 array<long>"
 
 
 def sets(docs: DataFrame, runs: int, least: float = LEAST) -> DataFrame:
@@ -102,6 +102,8 @@ def sets(docs: DataFrame, runs: int, least: float = LEAST) -> DataFrame:
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in SETS.split(", ")][2:]
         for pdf in batches:
+            if not len(pdf):
+                continue
             rows = []
             for text in pdf["text"]:
                 t = shingles(text)
@@ -115,10 +117,12 @@ def sets(docs: DataFrame, runs: int, least: float = LEAST) -> DataFrame:
                 rows.append((len(t), f[0], f[1], s[0], s[1], k1, p2, k2, p3, k3))
             out = pd.DataFrame(rows, columns=names)
             out.insert(0, "row", pdf["row"].to_numpy())
-            out.insert(1, "doc_id", pdf["doc_id"].astype("Int64").to_numpy())
-            yield out.astype({"doc_id": "Int64", "f1": "Int64", "f2": "Int64", "s1": "Int64", "s2": "Int64"})
+            out.insert(1, "doc_id", pdf["doc_id"].to_numpy())
+            yield out.astype({"f1": "Int64", "f2": "Int64", "s1": "Int64", "s2": "Int64"})
 
-    return docs.select("row", "doc_id", "text").mapInPandas(of, SETS)
+    # Ids go through Python as text, since nulls would turn longs into doubles.
+    out = docs.select("row", F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(of, SETS)
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _node_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -13,6 +13,8 @@ Tokens of about ``BLOCK`` characters of text form a block with a vocabulary of i
 Counts are summed by token over the blocks' vocabularies and return to the blocks, so no task and no driver holds the whole
 vocabulary, and a common token has one row for each block. Weights and head are of fixed size and broadcast.
 
+Ids go through Python as text, since nulls would turn longs into doubles.
+
 Edge cases: a null text is empty; an empty text is one end token. A null doc_id counts as the empty text in the crc32.
 Repeated rows are documents of their own. Ties for the head go to the smaller token. Extra columns are ignored. With no
 training documents every token is unknown, N is 0 and probabilities are uniform over slots. An empty table gives an empty
@@ -131,7 +133,7 @@ def fit_slots(counts: np.ndarray, classes: np.ndarray, rounds: int = 40) -> np.n
 
 def _blocks(docs: DataFrame) -> DataFrame:
     """Documents as numbers in a block's vocabulary, and the vocabularies: block, word, number, n | block, doc_id, held_out, ids."""
-    schema = "block string, word binary, number int, n long, doc_id long, held_out boolean, ids binary"
+    schema = "block string, word binary, number int, n long, doc_id string, held_out boolean, ids binary"
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def written():
@@ -144,14 +146,14 @@ def _blocks(docs: DataFrame) -> DataFrame:
             order = np.argsort(-all_n, kind="stable")
             rank = np.empty(len(words), dtype=np.int32)
             rank[order] = np.arange(len(words))
-            yield pd.DataFrame({"block": block, "word": words, "number": rank, "n": train, "doc_id": pd.array([pd.NA] * len(words), dtype="Int64"), "held_out": pd.array([pd.NA] * len(words), dtype="boolean"), "ids": None})
+            yield pd.DataFrame({"block": block, "word": words, "number": rank, "n": train, "doc_id": None, "held_out": pd.array([pd.NA] * len(words), dtype="boolean"), "ids": None})
             none = pd.array([pd.NA] * len(rows), dtype="Int64")
-            yield pd.DataFrame({"block": block, "word": None, "number": none, "n": none, "doc_id": pd.array([r[0] for r in rows], dtype="Int64"), "held_out": pd.array([r[1] for r in rows], dtype="boolean"), "ids": [rank[r[2]].astype("<i4").tobytes() for r in rows]})
+            yield pd.DataFrame({"block": block, "word": None, "number": none, "n": none, "doc_id": [r[0] for r in rows], "held_out": pd.array([r[1] for r in rows], dtype="boolean"), "ids": [rank[r[2]].astype("<i4").tobytes() for r in rows]})
 
         vocabulary: dict = {}
         rows, size = [], 0
         for pdf in batches:
-            for doc_id, held, text in zip(pdf["doc_id"].astype("Int64"), pdf["held_out"], pdf["text"], strict=True):
+            for doc_id, held, text in zip(pdf["doc_id"], pdf["held_out"], pdf["text"], strict=True):
                 t = tokens(text)
                 for w in set(t).difference(vocabulary):
                     vocabulary[w] = len(vocabulary)
@@ -163,7 +165,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
         if rows:
             yield from written()
 
-    return docs.select("doc_id", "text", (crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out")).mapInPandas(number, schema)
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", (crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out")).mapInPandas(number, schema)
 
 
 def score(docs: DataFrame, head_size: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
@@ -205,11 +207,11 @@ def score(docs: DataFrame, head_size: int = HEAD, rounds: int = ROUNDS) -> DataF
             ids = np.frombuffer(ids, dtype="<i4")
             rows.append((len(ids), int((c[ids] > 0).sum()), base[ids].sum(), inside[ids].sum(), slot[ids].tobytes()))
         out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score", "inside", "slots"])
-        out.insert(0, "doc_id", right["doc_id"].astype("Int64").to_numpy())
+        out.insert(0, "doc_id", right["doc_id"].to_numpy())
         out.insert(1, "held_out", right["held_out"].to_numpy())
-        return out.astype({"doc_id": "Int64", "held_out": "bool"})
+        return out.astype({"held_out": "bool"})
 
-    coded_schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, inside double, slots binary"
+    coded_schema = "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, inside double, slots binary"
     texts = blocks.filter("ids is not null").select("block", "doc_id", "held_out", "ids")
     data = scratch.table(known.select("block", "number", "c", "slot").groupBy("block").cogroup(texts.groupBy("block")).applyInPandas(coded, coded_schema), "coded")
     scratch.drop(blocks, known)
@@ -234,10 +236,10 @@ def score(docs: DataFrame, head_size: int = HEAD, rounds: int = ROUNDS) -> DataF
             out = pdf[["doc_id", "held_out", "n_tokens", "n_known", "base_score"]].copy()
             out["train_tokens"] = total
             out["score"] = (np.concatenate(parts) if parts else np.zeros(0)) + pdf["inside"].to_numpy()
-            yield out.astype({"doc_id": "Int64"})
+            yield out
 
-    out = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, train_tokens long, score double"
-    return data.mapInPandas(scored, out).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    out = "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, train_tokens long, score double"
+    return data.mapInPandas(scored, out).select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def train(data: DataFrame, slot_n: np.ndarray, classes: np.ndarray, rounds: int = ROUNDS) -> tuple[Weights, np.ndarray]:
@@ -295,6 +297,8 @@ def train(data: DataFrame, slot_n: np.ndarray, classes: np.ndarray, rounds: int
             base = np.cumsum([0, *SIZES])
             for b, t, old, n in zip(base, own.tables, sent.value.tables, seen, strict=False):
                 at = np.flatnonzero(n)
+                if not len(at):
+                    continue
                 yield pd.DataFrame({"feature": at + b, "n": n[at], "change": list(((t - old)[at] * n[at, None]).astype(np.float64))})
 
         part = learning.filter(F.col("round") == k).mapInPandas(updates, "feature long, n double, change array<double>")

@@ -30,7 +30,7 @@ from .common import Scratch
 SIZE, END, LONG, LEAST_BUCKET = 1024, 0, 20_000, 2000
 #: Characters that all versions of Unicode class alike.
 UNUSUAL = re.compile("[^\x00-~\u00a1-\u024f\u2010-\u2015\u2018-\u201f\u2026]")
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class Ids:
@@ -76,9 +76,11 @@ def pieces(docs: DataFrame, json_path: str, ranks_path: str | None = None, patte
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 ids = np.array([*encode(text), END], dtype="<u4")
                 rows += [(doc_id, s, min(size, len(ids) - s), zlib.crc32(ids[s : s + size].tobytes()), len(ids)) for s in range(0, len(ids), size)]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(cut, PIECES)
+    # Ids go through Python as text, since nulls would turn longs into doubles.
+    out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(cut, PIECES)
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, list[int]]]:
@@ -145,5 +147,5 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, pattern
                 sequence[at], offset[at] = hit[:, 1] + rank[at] - hit[:, 0], hit[:, 2]
             yield pdf.drop(columns="rank").assign(sequence_id=sequence, offset=offset)
 
-    out = ranked(found, histogram, size).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank")
-    return out.mapInPandas(place, PIECES + ", sequence_id long, offset long")
+    out = ranked(found, histogram, size).select(F.col("doc_id").cast("string").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "rank")
+    return out.mapInPandas(place, PIECES + ", sequence_id long, offset long").withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -58,7 +58,7 @@ def unit_digests(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
 
         digest = xxhash.xxh3_128_digest
         for pdf in batches:
-            texts, ids, rows = pdf["text"].tolist(), pdf["doc_id"].astype("Int64").array, pdf["row"].to_numpy()
+            texts, ids, rows = pdf["text"].tolist(), pdf["doc_id"].to_numpy(), pdf["row"].to_numpy()
             for i in range(0, len(texts), 500):
                 found, place, owner = [], [], []
                 for j, t in enumerate(texts[i : i + 500], i):
@@ -78,11 +78,16 @@ def unit_digests(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     return docs.select("doc_id", "row", "text").mapInPandas(digests, "d1 long, d2 long, doc_id long, row long, place int")
 
 
-def dedup(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """All columns of docs with ``text`` shortened, and ``removed``: array of (start, end) in characters of the old text."""
+def dedup(docs: DataFrame, least: int = MIN_WORDS, removed: str | None = "removed") -> DataFrame:
+    """All columns of docs with ``text`` shortened, and ``removed``: array of (start, end) in characters of the old text.
+
+    A column of docs with the name ``removed`` gives way to it; None adds nothing.
+    """
     scratch = Scratch(docs.sparkSession, "substring")
     names = docs.columns
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col("doc_id"), F.col("text"), row_key(docs, "doc_id", "text").alias("row"))
+    # Nulls would turn longs into doubles in Python; the row hash tells a null id from the smallest long.
+    rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), rank.alias("doc_id"), F.col("text"), row_key(docs, "doc_id", "text").alias("row"))
     found = scratch.table(unit_digests(keyed, least), "units")
     at = F.struct("doc_id", "row", "place")
     first = found.groupBy("d1", "d2").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("d1", "d2", "first")
@@ -92,7 +97,7 @@ def dedup(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     scratch.drop(found, first)
     # The row hash covers the id: equal ids with equal texts are one document here.
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row"), "gone")
-    out = keyed.join(gone, (F.col("row") == F.col("gone_row")) & F.col("doc_id").eqNullSafe(F.col("gone_id")), "left").select("doc", "text", "gone")
+    out = keyed.join(gone, (F.col("row") == F.col("gone_row")) & (F.col("doc_id") == F.col("gone_id")), "left").select("doc", "text", "gone")
 
     @F.pandas_udf("struct<text:string,removed:array<struct<start:int,end:int>>>")
     def shorten(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
@@ -108,4 +113,4 @@ def dedup(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
         return pd.DataFrame(rows, columns=["text", "removed"])
 
     out = out.withColumn("new", shorten("text", "gone"))
-    return out.select(*[(F.col("new.text") if c == "text" else F.col(f"doc.`{c}`")).alias(c) for c in names], F.col("new.removed").alias("removed"))
+    return out.select(*[(F.col("new.text") if c == "text" else F.col(f"doc.`{c}`")).alias(c) for c in names if c != removed], *([F.col("new.removed").alias(removed)] if removed else []))
