@@ -25,7 +25,7 @@ def drop_near_copies(spark, docs, sf_dir):
 
 def drop_repeats(spark, docs, sf_dir):
     """Removes lines and sentences that an earlier document has; n_chars follows the text."""
-    out = substring.dedup(docs).drop("removed")
+    out = substring.dedup(docs, removed=None)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
