@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-SIZE, END, LONG, LEAST_BUCKET = 1024, 0, 20_000, 2000
+SIZE, END, LONG, LEAST_BUCKET = 1024, 0, 20_000, 256
 #: Characters that all versions of Unicode class alike.
 UNUSUAL = re.compile("[^\x00-~\u00a1-\u024f\u2010-\u2015\u2018-\u201f\u2026]")
 PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long"
