@@ -46,7 +46,7 @@ def documents_written(df: DataFrame, path: str, by: Sequence[str] = ("cik", "for
 def objects(spark: SparkSession, path: str, text: bool = True) -> DataFrame:
     """Stored objects: path and content, as text or with the bytes, length and time of change."""
     if text:
-        return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+        return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     return spark.read.format("binaryFile").load(path)
 
 
