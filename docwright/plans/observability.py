@@ -37,9 +37,9 @@ def error_ratio(spark, sf_dir):
     return g.agg(F.round(F.try_divide(100.0 * F.count_if(code() >= 500), F.count(F.lit(1))), 9).alias("error_percent"))
 
 
-@query("SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99 FROM events GROUP BY 1")
+@query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")
 def latency_quantiles(spark, sf_dir):
-    return events(spark, sf_dir).groupBy("event_type").agg(*[F.percentile("value", F.lit(p)).alias(f"p{round(p * 100)}") for p in (0.5, 0.95, 0.99)])
+    return events(spark, sf_dir).groupBy("event_type").agg(*[F.round(F.percentile("value", F.lit(p)), 6).alias(f"p{round(p * 100)}") for p in (0.5, 0.95, 0.99)])
 
 
 @query("""WITH s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)

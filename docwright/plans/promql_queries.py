@@ -68,9 +68,9 @@ def promql_alert(spark, sf_dir):
 
 
 @query(f"""WITH {LAST}, s AS (SELECT event_type AS route, date_trunc('hour', ts)::TIMESTAMP + INTERVAL 1 HOUR AS t, avg(value) AS v FROM events GROUP BY 1, 2)
-SELECT "at", route, round(avg(v), 6) AS value FROM a JOIN s ON t > "at" - INTERVAL 7 DAYS AND t <= "at" GROUP BY 1, 2""")
+SELECT "at", route, round(avg(v), 9) AS value FROM a JOIN s ON t > "at" - INTERVAL 7 DAYS AND t <= "at" GROUP BY 1, 2""")
 def promql_avg_over_time(spark, sf_dir):
-    return run(spark, sf_dir, "avg_over_time(api_value[7d])").select(F.col("at").cast("timestamp_ntz").alias("at"), promql.label("route").alias("route"), F.round("value", 6).alias("value"))
+    return run(spark, sf_dir, "avg_over_time(api_value[7d])").select(F.col("at").cast("timestamp_ntz").alias("at"), promql.label("route").alias("route"), F.round("value", 9).alias("value"))
 
 
 @query(f'''WITH {LAST} SELECT "at", 0.0::DOUBLE AS value FROM a''')
