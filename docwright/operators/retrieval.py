@@ -25,9 +25,10 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 6,
     chunks = chunks.filter(F.col("embedding").isNotNull())
     if not exact:
         return _pairs(queries, chunks, k, digits)
-    blocks = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // BLOCK)))).alias("block"))
+    n = max(1, -(-queries.count() // BLOCK))
+    blocks = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("block"))
     out = None
-    for b in range(max(1, -(-queries.count() // BLOCK))):
+    for b in range(n):
         rows = blocks.filter(F.col("block") == b).select("query_id", "embedding").collect()  # about BLOCK rows
         if not rows:
             continue
@@ -60,9 +61,9 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 6,
 
 
 def _pairs(queries: DataFrame, chunks: DataFrame, k: int, digits: int) -> DataFrame:
-    """The same by expressions, for few queries against few chunks."""
+    """The same by expressions, for few queries against few chunks: every pair is a row."""
     q = queries.select("query_id", F.col("embedding").alias("q"))
-    pairs = chunks.join(F.broadcast(q.limit(BLOCK)), F.col("vec_id") != F.col("query_id"))
+    pairs = chunks.join(q, F.col("vec_id") != F.col("query_id"))
     return ranked(pairs.select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), digits).alias("score")), k)
 
 
