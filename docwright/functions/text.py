@@ -18,6 +18,11 @@ KEYWORDS = (
 )
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once: what a lambda refers to from outside is computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")
@@ -88,18 +93,24 @@ def stats(text: Column) -> Column:
 
 def word_windows(text: Column, size: int, stride: int, least: int = 1) -> Column:
     """Array of struct(i, text, n) of windows that begin every ``stride`` words and have at least ``least``."""
-    w = words(text)
-    starts = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    made = F.transform(starts, lambda s: F.struct((s / stride).cast("int").alias("i"), F.array_join(F.slice(w, s + 1, size), " ").alias("text"), F.least(F.lit(size), F.size(w) - s).alias("n")))
-    return F.filter(made, lambda c: c["n"] >= least)
+
+    def of(w: Column) -> Column:
+        starts = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+        made = F.transform(starts, lambda s: F.struct((s / stride).cast("int").alias("i"), F.array_join(F.slice(w, s + 1, size), " ").alias("text"), F.least(F.lit(size), F.size(w) - s).alias("n")))
+        return F.filter(made, lambda c: c["n"] >= least)
+
+    return let(words(text), of)
 
 
 def word_windows_to_end(text: Column, size: int = 500, overlap: int = 100) -> Column:
     """Array of struct(i, text, n): windows that overlap and stop with the one that reaches the end."""
-    w = words(text)
-    k = F.greatest(F.lit(1), F.ceil((F.size(w) - overlap) / (size - overlap)).cast("int"))
-    at = F.when(F.size(w) > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(i.alias("i"), F.array_join(F.slice(w, i * (size - overlap) + 1, size), " ").alias("text"), F.least(F.lit(size), F.size(w) - i * (size - overlap)).alias("n")))
+
+    def of(w: Column) -> Column:
+        k = F.greatest(F.lit(1), F.ceil((F.size(w) - overlap) / (size - overlap)).cast("int"))
+        at = F.when(F.size(w) > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(i.alias("i"), F.array_join(F.slice(w, i * (size - overlap) + 1, size), " ").alias("text"), F.least(F.lit(size), F.size(w) - i * (size - overlap)).alias("n")))
+
+    return let(words(text), of)
 
 
 #: Characters and overlap of a chunk.
@@ -107,15 +118,24 @@ PRESETS = {"default": (512, 50), "small": (256, 25), "large": (1024, 100), "sema
 
 
 def char_windows(text: Column, preset: str = "default") -> Column:
-    """Array of struct(i, start, end, text): character windows; blank ones are left out, none begins within the overlap of the end."""
+    """Array of struct(i, start, end, text): character windows; blank ones are left out, none begins within the overlap of the end.
+
+    The text is cut once into blocks as long as the stride; a window is a block and the beginning of the next, so the work
+    is linear in the length of a text.
+    """
     size, overlap = PRESETS[preset]
-    n = F.length(text)
-    k = F.greatest(F.lit(1), F.ceil((n - overlap) / (size - overlap)).cast("int"))
-    at = F.when(n > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>"))
-    begin = lambda i: i * (size - overlap)
-    made = F.transform(at, lambda i: F.struct(begin(i).alias("start"), F.least(begin(i) + size, n).alias("end"), F.substring(text, begin(i) + 1, F.lit(size)).alias("text")))
-    full = F.filter(made, lambda c: F.trim(F.regexp_replace(c["text"], r"\s+", " ")) != "")
-    return F.transform(full, lambda c, i: F.struct(i.alias("i"), c["start"].alias("start"), c["end"].alias("end"), c["text"].alias("text")))
+    stride = size - overlap
+
+    def of(blocks: Column) -> Column:
+        n = (F.size(blocks) - 1) * stride + F.length(F.try_element_at(blocks, F.lit(-1)))
+        k = F.greatest(F.lit(1), F.ceil((n - overlap) / stride).cast("int"))
+        at = F.when(F.size(blocks) > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>"))
+        cut = lambda i: F.concat(F.get(blocks, i), F.left(F.coalesce(F.get(blocks, i + 1), F.lit("")), F.lit(overlap)))
+        made = F.transform(at, lambda i: F.struct((i * stride).alias("start"), F.least(i * stride + size, n).alias("end"), cut(i).alias("text")))
+        full = F.filter(made, lambda c: F.trim(F.regexp_replace(c["text"], r"\s+", " ")) != "")
+        return F.transform(full, lambda c, i: F.struct(i.alias("i"), c["start"].alias("start"), c["end"].alias("end"), c["text"].alias("text")))
+
+    return let(F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{stride}}}"), F.lit(0)), of)
 
 
 def recommended_preset(fragmentation: Column, average: Column, coherence: Column, target: Column) -> Column:
@@ -128,8 +148,8 @@ def keyword_sentences(text: Column, header: Column, most: int = 200) -> Column:
     # A sentence is tried against one alternation, inside generated code.
     pattern = "|".join(KEYWORDS)
     found = F.filter(F.transform(F.split(text, "[.!?]+"), strip), lambda s: (F.length(s) > 50) & (F.length(s) < 1000) & F.lower(s).rlike(pattern))
-    chosen = F.transform(F.slice(found, 1, most), lambda s: F.concat(s, F.lit(".")))
-    return F.concat(header, F.when(F.size(found) > 0, F.array_join(chosen, " ")).otherwise(F.substring(text, 1, 30000)))
+    chosen = lambda f: F.transform(F.slice(f, 1, most), lambda s: F.concat(s, F.lit(".")))
+    return F.concat(header, let(found, lambda f: F.when(F.size(f) > 0, F.array_join(chosen(f), " ")).otherwise(F.substring(text, 1, 30000))))
 
 
 def content_hash(text: Column, algorithm: str = "sha256") -> Column:
