@@ -3,9 +3,9 @@
 Documents are sets of hashed five-word shingles (lower case, blank-separated words; a text of one to four words is one
 shingle). Documents with one set are one representative with a count. In each of ``runs`` runs a set follows random paths:
 at a node every token is chosen with probability 1 / (threshold * size), by a hash of node and token, and each chosen token
-leads to a child node. Sets that share chosen tokens meet. Nodes of up to ``small`` sets are compared by brute force; larger
-ones are split by their children, down to ``DEPTH``. A pair at the threshold survives a run with probability ``survival``;
-runs are repeated until the chance to miss it is below ``miss``.
+leads to a child node. Sets that share chosen tokens meet. Nodes of up to ``small`` sets are compared by brute force; only
+the sets of larger ones go on to their children, with twice the chance there, down to ``DEPTH``. Runs are repeated until the
+chance to miss a pair at the threshold, even one that only meets in large nodes, is below ``miss``.
 
 The brute force in a node compares 16-byte minwise sketches, loosely, and leaves a forest of edges. Its components are
 families; within a family all pairs are compared exactly, by intersections of whole sets. Families are dealt in chunks that
@@ -31,21 +31,21 @@ from .common import Scratch, WordHashes, mix64, one_thread, row_key
 from .components import components
 from .vector_dedup import _groups, _reach
 
-WORDS, LEAST, MISS, DEPTH, SMALL, CHUNK_ROWS, CHUNK_TOKENS = 5, 0.8, 2e-5, 3, 128, 512, 1_000_000
+WORDS, LEAST, MISS, DEPTH, SMALL, CHUNK_ROWS, CHUNK_TOKENS = 5, 0.8, 5e-5, 3, 4096, 512, 1_000_000
 SKETCH, SKETCH_LEAST = 16, 6
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
-def survival(least: float = LEAST, depth: int = DEPTH) -> float:
+def survival(depth: int = DEPTH) -> float:
     """Least chance that a pair at the threshold shares a path of the given depth: one set inside the other."""
     q = 1.0
-    for _ in range(depth):
-        q = 1 - math.exp(-q)
-    return q
+    for _ in range(depth - 1):
+        q = 1 - math.exp(-2 * q)
+    return 1 - math.exp(-q)
 
 
-def runs_for(miss: float = MISS, least: float = LEAST) -> int:
-    return math.ceil(math.log(miss) / math.log(1 - survival(least)))
+def runs_for(miss: float = MISS) -> int:
+    return math.ceil(math.log(miss) / math.log(1 - survival()))
 
 
 _hashes = WordHashes()
@@ -66,38 +66,38 @@ def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
     return np.unique(mix64(s))
 
 
-def paths(tokens: np.ndarray, runs: int, least: float = LEAST, depth: int = DEPTH) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(parent key, key) of the nodes that a set reaches, for each depth."""
-    out = []
-    bound = np.uint64(min(2**64 - 1, int(2**64 / (least * len(tokens)))))
-    nodes = mix64(np.arange(1, runs + 1, dtype=np.uint64))
-    for _ in range(depth):
-        h = mix64(tokens[None, :] ^ nodes[:, None]) if len(nodes) * len(tokens) <= 4_000_000 else None
-        if h is not None:
-            at, which = np.nonzero(h <= bound)
-            child = h[at, which]
-        else:
-            found = [(i, x[x <= bound]) for i, x in ((i, mix64(tokens ^ k)) for i, k in enumerate(nodes))]
-            at, child = np.repeat([i for i, _ in found], [len(x) for _, x in found]).astype(int), np.concatenate([x for _, x in found])
-        with np.errstate(over="ignore"):
-            key = mix64(child + nodes[at] * ODD[1])
-        out.append((nodes[at], key))
-        nodes = key
-    return out
+def children(tokens: np.ndarray, nodes: np.ndarray, mean: float, least: float = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """(parent, child) nodes of a set: each token is chosen with probability mean / (least * size) at each node."""
+    bound = np.uint64(min(2**64 - 1, int(2**64 * mean / (least * len(tokens)))))
+    parents, found = [], []
+    some = max(1, 2_000_000 // len(tokens))
+    with np.errstate(over="ignore"):
+        for i in range(0, len(nodes), some):
+            own = nodes[i : i + some]
+            at, which = np.nonzero(tokens[None, :] * (own | np.uint64(1))[:, None] <= bound)
+            parents.append(own[at])
+            found.append(mix64(tokens[which] + mix64(own[at])))
+    return np.concatenate(parents), np.concatenate(found)
+
+
+def roots(runs: int) -> np.ndarray:
+    return mix64(np.arange(1, runs + 1, dtype=np.uint64))
 
 
-SEEDS = mix64(np.arange(1001, 1001 + SKETCH, dtype=np.uint64))
+SEEDS = mix64(np.arange(1001, 1001 + SKETCH, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
-    return np.array([mix64(tokens ^ s).min() & np.uint64(255) for s in SEEDS]).astype(np.uint8)
+    """One byte of each of SKETCH minwise hashes."""
+    low = ((tokens >> np.uint64(32)).astype(np.uint32)[None, :] * SEEDS[:, None]).min(axis=1)
+    return ((low * np.uint32(2654435761)) >> np.uint32(24)).astype(np.uint8)
 
 
-SETS = "row long, doc_id string, n int, f1 long, f2 long, s1 long, s2 long, k1 array<long>, p2 array<long>, k2 array<long>, p3 array<long>, k3 array<long>"
+SETS = "row long, doc_id string, n int, f1 long, f2 long, s1 long, s2 long, nodes array<long>"
 
 
 def sets(docs: DataFrame, runs: int, least: float = LEAST) -> DataFrame:
-    """Of every row: size, fingerprint, sketch and path keys of its set; n is 0 and the rest null without one."""
+    """Of every row: size, fingerprint, sketch and first nodes of its set; n is 0 and the rest null without one."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in SETS.split(", ")][2:]
@@ -108,13 +108,12 @@ def sets(docs: DataFrame, runs: int, least: float = LEAST) -> DataFrame:
             for text in pdf["text"]:
                 t = shingles(text)
                 if not len(t):
-                    rows.append((0, *[None] * 9))
+                    rows.append((0, *[None] * 5))
                     continue
                 with np.errstate(over="ignore"):
                     f = np.array([mix64(t).sum(), mix64(t ^ ODD[2]).sum()]).view(np.int64)
                 s = sketch(t).view(np.int64)
-                (_, k1), (p2, k2), (p3, k3) = ((p.view(np.int64), k.view(np.int64)) for p, k in paths(t, runs, least))
-                rows.append((len(t), f[0], f[1], s[0], s[1], k1, p2, k2, p3, k3))
+                rows.append((len(t), f[0], f[1], s[0], s[1], children(t, roots(runs), 1.0, least)[1].view(np.int64)))
             out = pd.DataFrame(rows, columns=names)
             out.insert(0, "row", pdf["row"].to_numpy())
             out.insert(1, "doc_id", pdf["doc_id"].to_numpy())
@@ -125,6 +124,19 @@ def sets(docs: DataFrame, runs: int, least: float = LEAST) -> DataFrame:
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def deeper(at: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
+    """(key, rep, s1, s2) of the children of large nodes. at: (key, rep, s1, s2); texts: (row, text)."""
+    own = at.groupBy("rep", "s1", "s2").agg(F.collect_list("key").alias("keys"))  # the nodes of one set
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for rep, s1, s2, keys, text in zip(pdf["rep"], pdf["s1"], pdf["s2"], pdf["keys"], pdf["text"], strict=True):
+                found = children(shingles(text), np.asarray(keys, dtype=np.int64).view(np.uint64), 2.0, least)[1]
+                yield pd.DataFrame({"key": found.view(np.int64), "rep": rep, "s1": s1, "s2": s2})
+
+    return own.join(texts, F.col("rep") == F.col("row")).dropDuplicates(["rep"]).select("rep", "s1", "s2", "keys", "text").mapInPandas(of, "key long, rep long, s1 long, s2 long")
+
+
 def _node_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Forest edges among the rows of small nodes whose sketches are close; input sorted by key."""
     for pdf in _groups(batches, ["key"]):
@@ -152,18 +164,17 @@ def _node_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": rep[keep], "b": rep[lab[keep]]}).drop_duplicates()
 
 
-def candidate_edges(reps: DataFrame, scratch: Scratch, small: int = SMALL) -> DataFrame:
+def candidate_edges(reps: DataFrame, texts: DataFrame, scratch: Scratch, small: int = SMALL, least: float = LEAST) -> DataFrame:
     """(a, b) edges whose components hold every pair that met in a small node with close sketches."""
-    out, big = None, None
+    out = None
+    rows = reps.select(F.explode("nodes").alias("key"), "rep", "s1", "s2")
     for depth in range(1, DEPTH + 1):
-        if depth == 1:
-            rows = reps.select("rep", "s1", "s2", F.explode("k1").alias("key"))
-        else:
-            pair = F.explode(F.arrays_zip(F.col(f"p{depth}").alias("parent"), F.col(f"k{depth}").alias("key")))
-            rows = reps.select("rep", "s1", "s2", pair.alias("p")).select("rep", "s1", "s2", F.col("p.parent").alias("parent"), F.col("p.key").alias("key"))
-            rows = scratch.table(rows.join(big.select(F.col("key").alias("parent")), "parent", "left_semi").drop("parent"), f"rows{depth}")
-        sizes = scratch.table(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("first")).filter("size > 1"), f"sizes{depth}")
-        few = rows.join(sizes.filter(F.col("size") <= small).select("key"), "key").repartition("key").sortWithinPartitions("key")
+        if depth > 1:
+            rows = scratch.table(deeper(rows.join(big.select("key"), "key"), texts, least), f"rows{depth}")
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("first")).filter("size > 1")
+        sizes = scratch.table(sizes, f"sizes{depth}")
+        # The number of nodes has no bound, so the join is never a broadcast; what is hot on the left is large and not in it.
+        few = rows.join(sizes.filter(F.col("size") <= small).select("key").hint("merge"), "key").repartition("key").sortWithinPartitions("key")
         edges = few.select("key", "rep", "s1", "s2").mapInPandas(_node_edges, "a long, b long").distinct()
         edges = scratch.table(edges, f"edges{depth}")
         out = edges if out is None else out.union(edges)
@@ -222,19 +233,20 @@ def join(docs: DataFrame, least: float = LEAST, miss: float = MISS) -> DataFrame
     """row, doc_id, class_id, n_links, first of every row of docs; ``first`` is the row key of its class's first document."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     keyed = docs.select(F.col("doc_id"), F.col("text"), row_key(docs, "doc_id", "text").alias("row"))
-    found = scratch.table(sets(keyed, runs_for(miss, least), least), "sets")
+    found = scratch.table(sets(keyed, runs_for(miss), least), "sets")
     groups = found.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min(F.struct("doc_id", "row")).alias("at"), F.count(F.lit(1)).alias("copies"))
     groups = scratch.table(groups.select("n", "f1", "f2", F.col("at.row").alias("rep"), F.col("at.doc_id").alias("rep_doc"), "copies"), "groups")
     # Copies have equal sets, so the representative's row is one of them; repeated rows must not count twice here.
     reps = found.filter("n > 0").join(groups.select("rep"), F.col("row") == F.col("rep"), "left_semi").dropDuplicates(["row"])
     reps = scratch.table(reps.withColumnRenamed("row", "rep").drop("doc_id", "f1", "f2"), "reps")
     found_path = found.select("row", "doc_id", "n", "f1", "f2")
-    edges = candidate_edges(reps, scratch)
+    edges = candidate_edges(reps, keyed.select("row", "text"), scratch, least=least)
     family = components(edges, scratch).withColumnRenamed("node", "rep").withColumnRenamed("component", "family")
     member = scratch.table(family.join(groups.select("rep", "n", "copies"), "rep"), "members")
     sizes = scratch.table(member.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS), F.ceil(F.sum("n") / CHUNK_TOKENS)).cast("int").alias("chunks")), "families")
     member = scratch.table(member.join(sizes, "family").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")), "dealt")
-    texts = keyed.join(member.withColumnRenamed("rep", "row"), "row")
+    # The number of members has no bound, so this is never a broadcast.
+    texts = keyed.join(member.withColumnRenamed("rep", "row").hint("merge"), "row")
     if _repeats(found_path):
         texts = texts.groupBy("row").agg(*[F.first(c).alias(c) for c in ("text", "family", "chunk", "chunks", "copies")])
     texts = texts.select(F.col("row").alias("rep"), "text", "family", "chunk", "copies", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))

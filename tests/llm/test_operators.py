@@ -214,7 +214,7 @@ def brute_jaccard(texts):
 def test_jaccard(spark, small, monkeypatch):
     monkeypatch.setattr(jaccard, "CHUNK_ROWS", 512 if small > 4 else 3)
     original = jaccard.candidate_edges
-    monkeypatch.setattr(jaccard, "candidate_edges", lambda reps, scratch: original(reps, scratch, small))
+    monkeypatch.setattr(jaccard, "candidate_edges", lambda *a, **k: original(*a, small=small, **k))
     texts = near_copies()
     links = brute_jaccard(texts)
     want = []
