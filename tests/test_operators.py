@@ -233,3 +233,29 @@ def test_stateful_streams(spark, tmp_path):
     q = SM.monthly_spend(spark.readStream.schema("tenant string, ts timestamp, cost double").parquet(str(tmp_path / "s")), "tenant", "ts", "cost")
     q.writeStream.outputMode("update").format("memory").queryName("spend").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cs")).start().awaitTermination()
     assert [tuple(r) for r in spark.sql("select * from spend").collect()] == [("x", "2024-02", 4.0)]
+
+
+def test_replace_documents_keeps_the_others(spark, tmp_path):
+    out = str(tmp_path / "chunks")
+    row = lambda d, c: (c, d)
+    kind = "content string, document_id string"
+    C.replace_documents(spark.createDataFrame([row("a", "1"), row("a", "2"), row("b", "3")], kind), out)
+    C.replace_documents(spark.createDataFrame([row("a", "9")], kind), out)
+    assert sorted((r["document_id"], r["content"]) for r in spark.read.parquet(out).collect()) == [("a", "9"), ("b", "3")]
+
+
+def test_recent_objects(spark):
+    f = spark.createDataFrame([("gold/1/AAPL/kpi.json", datetime(2024, 1, 9)), ("gold/1/MSFT/kpi.json", datetime(2024, 1, 1))], "path string, modificationTime timestamp")
+    got = C.recent_objects(f, F.lit(datetime(2024, 1, 10))).collect()
+    assert [(r["cik"], r["ticker"], r["kind"]) for r in got] == [("1", "AAPL", "kpi")]
+
+
+def test_exact_topk_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(E, "BLOCK", 2)
+    rows = [(i, [float(i % 5), float(i % 3) - 1, 1.0]) for i in range(20)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = v.filter("vec_id < 7").withColumnRenamed("vec_id", "query_id")
+    key = lambda df: sorted((r["query_id"], r["rank"], r["vec_id"]) for r in df.collect())
+    assert key(E.vector_topk(q, v, 4)) == key(E.vector_topk(q, v, 4, exact=False))
+    tagged = v.withColumn("tenant_id", F.when(F.col("vec_id") < 10, "a").otherwise("b"))
+    assert {r["vec_id"] < 10 for r in E.vector_topk(q, tagged, 3, tenant="a").collect()} == {True}
