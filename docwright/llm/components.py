@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-def _signature(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return r["n"], r["x"]
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Whether every node above has one node below, and none is both."""
+    n = edges.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("u").alias("u")).first()
+    return n["n"] == n["u"] and edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -21,8 +22,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = scratch.table(e, "edges")
-    seen = _signature(e)
-    while seen[0]:
+    while not _is_star_forest(e):
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select("v", "u"))
         least = scratch.table(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "least")
         large = scratch.table(both.join(least, "x").filter("y > x and m < y").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct(), "large")
@@ -30,8 +30,5 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         joined = large.join(least2, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         small = scratch.table(joined.filter("u <> v").distinct(), "small")
         scratch.drop(e, least, large, least2)
-        e, before = small, seen
-        seen = _signature(e)
-        if seen == before:
-            break
+        e = small
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())

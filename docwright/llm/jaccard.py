@@ -2,12 +2,13 @@
 
 Documents are sets of hashed five-word shingles (lower case, blank-separated words; a text of one to four words is one
 shingle). Documents with one set are one representative with a count. In each of ``runs`` runs a set follows random paths:
-at a node every token is chosen with probability 1 / (threshold * size), by a hash of node and token, and each chosen token
+at the root every token is chosen with probability 1 / (threshold * size), by a hash of run and token, and each chosen token
 leads to a child node. Sets that share chosen tokens meet. Nodes of up to ``small`` sets are compared by brute force; only
-the sets of larger ones go on to their children, with twice the chance there, down to ``DEPTH``. Runs are repeated until the
-chance to miss a pair at the threshold, even one that only meets in large nodes, is below ``miss``.
+the sets of larger ones go on, down to ``DEPTH``: below the root a set is its minwise signature of ``SIGNATURE`` tokens, of
+which each node chooses ``PICKS`` places. Runs are repeated until the chance to miss a pair at the threshold, even one that
+only meets in large nodes, is below ``miss``.
 
-The brute force in a node compares 16-byte minwise sketches, loosely, and leaves a forest of edges. Its components are
+The brute force in a node compares 16-byte sketches of the signature, loosely, and leaves a forest of edges. Its components are
 families; within a family all pairs are compared exactly, by intersections of whole sets. Families are dealt in chunks that
 meet pair by pair, so no family is gathered in one task. Rows leave as counts of links and one edge each, never as pairs.
 
@@ -32,20 +33,17 @@ from .components import components
 from .vector_dedup import _groups, _reach
 
 WORDS, LEAST, MISS, DEPTH, SMALL, CHUNK_ROWS, CHUNK_TOKENS = 5, 0.8, 5e-5, 3, 4096, 512, 1_000_000
-SKETCH, SKETCH_LEAST = 16, 6
+SIGNATURE, PICKS, SKETCH, SKETCH_LEAST = 32, 3, 16, 6
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
-def survival(depth: int = DEPTH) -> float:
-    """Least chance that a pair at the threshold shares a path of the given depth: one set inside the other."""
-    q = 1.0
-    for _ in range(depth - 1):
-        q = 1 - math.exp(-2 * q)
-    return 1 - math.exp(-q)
+def survival(least: float = LEAST, depth: int = DEPTH) -> float:
+    """Chance that a pair at the threshold, one set inside the other, shares a path of the given depth."""
+    return (1 - math.exp(-1)) * (1 - (1 - least) ** PICKS) ** (depth - 1)
 
 
-def runs_for(miss: float = MISS) -> int:
-    return math.ceil(math.log(miss) / math.log(1 - survival()))
+def runs_for(miss: float = MISS, least: float = LEAST) -> int:
+    return math.ceil(math.log(miss) / math.log(1 - survival(least)))
 
 
 _hashes = WordHashes()
@@ -66,34 +64,39 @@ def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
     return np.unique(mix64(s))
 
 
-def children(tokens: np.ndarray, nodes: np.ndarray, mean: float, least: float = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """(parent, child) nodes of a set: each token is chosen with probability mean / (least * size) at each node."""
-    bound = np.uint64(min(2**64 - 1, int(2**64 * mean / (least * len(tokens)))))
-    parents, found = [], []
-    some = max(1, 2_000_000 // len(tokens))
+def chosen(tokens: np.ndarray, runs: int, least: float = LEAST) -> np.ndarray:
+    """Nodes below the roots of all runs: each token is chosen with probability 1 / (least * size)."""
+    bound = np.uint64(min(2**64 - 1, int(2**64 / (least * len(tokens)))))
+    found = []
     with np.errstate(over="ignore"):
-        for i in range(0, len(nodes), some):
-            own = nodes[i : i + some]
-            at, which = np.nonzero(tokens[None, :] * (own | np.uint64(1))[:, None] <= bound)
-            parents.append(own[at])
-            found.append(mix64(tokens[which] + mix64(own[at])))
-    return np.concatenate(parents), np.concatenate(found)
+        for root in mix64(np.arange(1, runs + 1, dtype=np.uint64)):
+            own = tokens[tokens * (root | np.uint64(1)) <= bound]
+            found.append(mix64(own + root))
+    return np.concatenate(found)
 
 
-def roots(runs: int) -> np.ndarray:
-    return mix64(np.arange(1, runs + 1, dtype=np.uint64))
+SEEDS = mix64(np.arange(1001, 1001 + SIGNATURE, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 
 
-SEEDS = mix64(np.arange(1001, 1001 + SKETCH, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
+def signature(tokens: np.ndarray) -> np.ndarray:
+    """SIGNATURE minwise hashes."""
+    return ((tokens >> np.uint64(32)).astype(np.uint32)[None, :] * SEEDS[:, None]).min(axis=1)
 
 
-def sketch(tokens: np.ndarray) -> np.ndarray:
-    """One byte of each of SKETCH minwise hashes."""
-    low = ((tokens >> np.uint64(32)).astype(np.uint32)[None, :] * SEEDS[:, None]).min(axis=1)
-    return ((low * np.uint32(2654435761)) >> np.uint32(24)).astype(np.uint8)
+def sketch(sig: np.ndarray) -> np.ndarray:
+    """One byte of each of the first SKETCH values of a signature."""
+    return ((sig[:SKETCH] * np.uint32(2654435761)) >> np.uint32(24)).astype(np.uint8)
 
 
-SETS = "row long, doc_id string, n int, f1 long, f2 long, s1 long, s2 long, nodes array<long>"
+def picked(nodes: np.ndarray, signatures: np.ndarray) -> np.ndarray:
+    """(n, PICKS) children of each row's node: the node chooses places of the signature, and what stands there leads on."""
+    with np.errstate(over="ignore"):
+        place = (mix64(nodes[:, None] + np.arange(PICKS, dtype=np.uint64)) % np.uint64(SIGNATURE)).astype(np.int64)
+        value = np.take_along_axis(signatures, place, axis=1).astype(np.uint64)
+        return mix64(mix64(value + (place.astype(np.uint64) << np.uint64(32))) + nodes[:, None])
+
+
+SETS = "row long, doc_id string, n int, f1 long, f2 long, s1 long, s2 long, signature binary, nodes array<long>"
 
 
 def sets(docs: DataFrame, runs: int, least: float = LEAST) -> DataFrame:
@@ -108,12 +111,13 @@ def sets(docs: DataFrame, runs: int, least: float = LEAST) -> DataFrame:
             for text in pdf["text"]:
                 t = shingles(text)
                 if not len(t):
-                    rows.append((0, *[None] * 5))
+                    rows.append((0, *[None] * 6))
                     continue
                 with np.errstate(over="ignore"):
                     f = np.array([mix64(t).sum(), mix64(t ^ ODD[2]).sum()]).view(np.int64)
-                s = sketch(t).view(np.int64)
-                rows.append((len(t), f[0], f[1], s[0], s[1], children(t, roots(runs), 1.0, least)[1].view(np.int64)))
+                sig = signature(t)
+                s = sketch(sig).view(np.int64)
+                rows.append((len(t), f[0], f[1], s[0], s[1], sig.tobytes(), chosen(t, runs, least).view(np.int64)))
             out = pd.DataFrame(rows, columns=names)
             out.insert(0, "row", pdf["row"].to_numpy())
             out.insert(1, "doc_id", pdf["doc_id"].to_numpy())
@@ -124,17 +128,20 @@ def sets(docs: DataFrame, runs: int, least: float = LEAST) -> DataFrame:
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def deeper(at: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
-    """(key, rep, s1, s2) of the children of large nodes. at: (key, rep, s1, s2); texts: (row, text)."""
-    own = at.groupBy("rep", "s1", "s2").agg(F.collect_list("key").alias("keys"))  # the nodes of one set
+def deeper(at: DataFrame, reps: DataFrame) -> DataFrame:
+    """(key, rep, s1, s2) of the children of the nodes in ``at`` (key, rep)."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for rep, s1, s2, keys, text in zip(pdf["rep"], pdf["s1"], pdf["s2"], pdf["keys"], pdf["text"], strict=True):
-                found = children(shingles(text), np.asarray(keys, dtype=np.int64).view(np.uint64), 2.0, least)[1]
-                yield pd.DataFrame({"key": found.view(np.int64), "rep": rep, "s1": s1, "s2": s2})
+            if not len(pdf):
+                continue
+            sig = np.frombuffer(b"".join(pdf["signature"]), dtype=np.uint32).reshape(len(pdf), SIGNATURE)
+            keys = picked(pdf["key"].to_numpy().view(np.uint64), sig)
+            out = pdf.loc[pdf.index.repeat(PICKS), ["rep", "s1", "s2"]]
+            out.insert(0, "key", keys.ravel().view(np.int64))
+            yield out.drop_duplicates(["key", "rep"])
 
-    return own.join(texts, F.col("rep") == F.col("row")).dropDuplicates(["rep"]).select("rep", "s1", "s2", "keys", "text").mapInPandas(of, "key long, rep long, s1 long, s2 long")
+    return at.join(reps.select("rep", "s1", "s2", "signature"), "rep").select("key", "rep", "s1", "s2", "signature").mapInPandas(of, "key long, rep long, s1 long, s2 long")
 
 
 def _node_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,13 +171,13 @@ def _node_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": rep[keep], "b": rep[lab[keep]]}).drop_duplicates()
 
 
-def candidate_edges(reps: DataFrame, texts: DataFrame, scratch: Scratch, small: int = SMALL, least: float = LEAST) -> DataFrame:
+def candidate_edges(reps: DataFrame, scratch: Scratch, small: int = SMALL) -> DataFrame:
     """(a, b) edges whose components hold every pair that met in a small node with close sketches."""
     out = None
     rows = reps.select(F.explode("nodes").alias("key"), "rep", "s1", "s2")
     for depth in range(1, DEPTH + 1):
         if depth > 1:
-            rows = scratch.table(deeper(rows.join(big.select("key"), "key"), texts, least), f"rows{depth}")
+            rows = scratch.table(deeper(rows.join(big.select("key"), "key").select("key", "rep"), reps), f"rows{depth}")
         sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("first")).filter("size > 1")
         sizes = scratch.table(sizes, f"sizes{depth}")
         # The number of nodes has no bound, so the join is never a broadcast; what is hot on the left is large and not in it.
@@ -233,14 +240,14 @@ def join(docs: DataFrame, least: float = LEAST, miss: float = MISS) -> DataFrame
     """row, doc_id, class_id, n_links, first of every row of docs; ``first`` is the row key of its class's first document."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     keyed = docs.select(F.col("doc_id"), F.col("text"), row_key(docs, "doc_id", "text").alias("row"))
-    found = scratch.table(sets(keyed, runs_for(miss), least), "sets")
+    found = scratch.table(sets(keyed, runs_for(miss, least), least), "sets")
     groups = found.filter("n > 0").groupBy("n", "f1", "f2").agg(F.min(F.struct("doc_id", "row")).alias("at"), F.count(F.lit(1)).alias("copies"))
     groups = scratch.table(groups.select("n", "f1", "f2", F.col("at.row").alias("rep"), F.col("at.doc_id").alias("rep_doc"), "copies"), "groups")
     # Copies have equal sets, so the representative's row is one of them; repeated rows must not count twice here.
     reps = found.filter("n > 0").join(groups.select("rep"), F.col("row") == F.col("rep"), "left_semi").dropDuplicates(["row"])
     reps = scratch.table(reps.withColumnRenamed("row", "rep").drop("doc_id", "f1", "f2"), "reps")
     found_path = found.select("row", "doc_id", "n", "f1", "f2")
-    edges = candidate_edges(reps, keyed.select("row", "text"), scratch, least=least)
+    edges = candidate_edges(reps, scratch)
     family = components(edges, scratch).withColumnRenamed("node", "rep").withColumnRenamed("component", "family")
     member = scratch.table(family.join(groups.select("rep", "n", "copies"), "rep"), "members")
     sizes = scratch.table(member.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS), F.ceil(F.sum("n") / CHUNK_TOKENS)).cast("int").alias("chunks")), "families")
