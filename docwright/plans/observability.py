@@ -91,7 +91,7 @@ def avg_over_time(spark, sf_dir):
 SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS bucket, sum(CASE WHEN p IS NULL THEN 0 WHEN c < p THEN c ELSE c - p END) AS increase FROM d GROUP BY 1, 2""")
 def counter_increase(spark, sf_dir):
     s = events(spark, sf_dir).select("user_id", F.struct("ts", "event_id").alias("at"), "ts", (F.col("event_id") % 1000).cast("double").alias("c"))
-    return M.increase(s, ["user_id"], "at", "c", F.date_trunc("day", "ts"))
+    return M.increase(s, ["user_id"], "at", "c", F.date_trunc("day", "ts").cast("timestamp_ntz"))
 
 
 TICKS = "t AS (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS tick, avg(value) AS v FROM events GROUP BY 1, 2)"
@@ -114,7 +114,7 @@ FROM (SELECT *, {MODEL} AS model FROM events) LEFT JOIN {RATES} USING (model) GR
 def spent(spark, sf_dir):
     e = events(spark, sf_dir).withColumn("model", F.expr(MODEL))
     cost = F.round(M.token_cost(F.col("model"), F.col("value") * 10, F.col("value")), 9).cast("decimal(20,9)")
-    return e.groupBy("user_id", F.date_trunc("month", "ts").alias("month")).agg(F.round(F.sum(cost).cast("double"), 6).alias("cost"))
+    return e.groupBy("user_id", F.date_trunc("month", "ts").cast("timestamp_ntz").alias("month")).agg(F.round(F.sum(cost).cast("double"), 6).alias("cost"))
 
 
 @query(f"WITH {SPENT} SELECT user_id, month, round(cost, 4) AS cost FROM c")
@@ -126,7 +126,7 @@ def tenant_cost(spark, sf_dir):
 s AS (SELECT *, CASE WHEN utilization >= 1 THEN 'exhausted' WHEN utilization >= 0.9 THEN 'critical' WHEN utilization >= 0.8 THEN 'warning' ELSE 'normal' END AS state FROM u)
 SELECT user_id, month, greatest(0.0, 20.0 - spent)::DOUBLE AS remaining, utilization::DOUBLE AS utilization, state, state <> 'exhausted' AS allowed, CASE state WHEN 'warning' THEN 'gpt-4o-mini' WHEN 'critical' THEN 'claude-3-haiku' END AS recommended FROM s""")
 def budget_state(spark, sf_dir):
-    c = events(spark, sf_dir).groupBy("user_id", F.date_trunc("month", "ts").alias("month")).agg(F.count(F.lit(1)).cast("double").alias("spent"))
+    c = events(spark, sf_dir).groupBy("user_id", F.date_trunc("month", "ts").cast("timestamp_ntz").alias("month")).agg(F.count(F.lit(1)).cast("double").alias("spent"))
     return c.select("user_id", "month", M.budget_status(F.lit(20.0), F.col("spent"), F.lit("gpt-4o")).alias("b")).select("user_id", "month", "b.*")
 
 

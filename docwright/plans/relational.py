@@ -135,7 +135,7 @@ def first_three_per_type(spark, sf_dir):
     return R.first_per_key(table(spark, sf_dir, "orders"), ["o_orderstatus"], [F.desc("o_totalprice"), F.col("o_orderkey")], 3, "rank").select("o_orderstatus", "o_orderkey", "rank")
 
 
-@query("""SELECT o_custkey, count(*) AS batches, sum(n) AS lines, bool_and(n = q) AS consistent FROM (
+@query("""SELECT o_custkey, count(*) AS batches, sum(n)::BIGINT AS lines, bool_and(n = q) AS consistent FROM (
 SELECT o_custkey, o_orderkey, count(*) AS n, count(DISTINCT l_linenumber) AS q FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2) GROUP BY 1""")
 def batch_verification(spark, sf_dir):
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
