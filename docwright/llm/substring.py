@@ -1,8 +1,9 @@
 """Substring dedup by hashing lines and sentences.
 
-A unit is a line, cut further after ``.``, ``!`` or ``?`` before a blank, so a passage put in the middle of a line is still
-made of whole units. Units are normalised (lower case, single blanks) and units of at least ``MIN_WORDS`` words get a
-128-bit digest. Digests are grouped over all documents; the occurrence that is first by (doc_id, row hash, place) stays and
+A unit is a line, cut further after ``.``, ``!`` or ``?`` before a blank once it has ``MIN_WORDS`` words, so a passage put in the
+middle of a line is still made of whole units. What is longer than ``LONG_WORDS`` words is cut after words whose hash is 0
+modulo ``CUT_HASH``, which fall on the same words wherever the passage stands. Units are normalised (lower case, single
+blanks) and units of at least ``MIN_WORDS`` words get a 128-bit digest. Digests are grouped over all documents; the occurrence that is first by (doc_id, row hash, place) stays and
 the others go, with the original offsets retained. Shorter units are too common to judge alone: one goes when both its
 neighbours in the document go.
 
@@ -17,6 +18,7 @@ document. Extra columns are kept. An empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,23 +28,45 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, row_key
 
-MIN_WORDS = 5
-CUT = re.compile(r"[.!?](?=\s)|\n")
-
-
-def units(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the units, in characters; together they are the whole text."""
-    ends = [m.end() for m in CUT.finditer(text)]
-    if not ends or ends[-1] < len(text):
-        ends.append(len(text))
-    return list(zip([0, *ends[:-1]], ends, strict=True)) if text else []
-
-
-def removed_spans(spans: list, gone: set, words: list[int], least: int = MIN_WORDS) -> list[tuple[int, int]]:
+MIN_WORDS, LONG_WORDS, CUT_HASH = 5, 32, 8
+CUT, WORD = re.compile(r"[.!?](?=\s)|\n"), re.compile(r"\S+")
+
+
+def units(text: str, least: int = MIN_WORDS) -> list[tuple[int, int, list[str]]]:
+    """(start, end, lower-case words) of the units, in characters; together they are the whole text."""
+    out: list[tuple[int, int, list[str]]] = []
+    begin = held = 0
+    words: list[str] = []
+    for m in CUT.finditer(text):
+        end = m.end()
+        words += text[begin:end].lower().split()
+        begin = end
+        if len(words) >= least or m[0] == "\n":
+            _cut_long(out, text, held, end, words, least)
+            held, words = end, []
+    if held < len(text):
+        words += text[begin:].lower().split()
+        _cut_long(out, text, held, len(text), words, least)
+    return out
+
+
+def _cut_long(out: list, text: str, start: int, end: int, words: list[str], least: int) -> None:
+    if len(words) <= LONG_WORDS:
+        out.append((start, end, words))
+        return
+    first = 0
+    for i, m in enumerate(WORD.finditer(text, start, end), 1):
+        if i - first >= least and zlib.crc32(m[0].lower().encode()) % CUT_HASH == 0 and i < len(words):
+            out.append((start, m.end(), words[first:i]))
+            start, first = m.end(), i
+    out.append((start, end, words[first:]))
+
+
+def removed_spans(spans: list, gone: set, least: int = MIN_WORDS) -> list[tuple[int, int]]:
     """Merged (start, end) of the units in ``gone`` and of short ones between two of them."""
     out: list[list[int]] = []
-    for i, (a, b) in enumerate(spans):
-        if i in gone or (words[i] < least and i - 1 in gone and i + 1 in gone):
+    for i, (a, b, words) in enumerate(spans):
+        if i in gone or (len(words) < least and i - 1 in gone and i + 1 in gone):
             if out and out[-1][1] == a:
                 out[-1][1] = b
             else:
@@ -65,8 +89,7 @@ def unit_digests(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
                     at = 0
                     if not t:
                         continue
-                    for k, (a, b) in enumerate(units(t)):
-                        w = t[a:b].lower().split()
+                    for k, (_, _, w) in enumerate(units(t, least)):
                         if len(w) >= least:
                             found.append(digest(" ".join(w).encode()))
                             place.append(k)
@@ -106,8 +129,7 @@ def dedup(docs: DataFrame, least: int = MIN_WORDS, removed: str | None = "remove
             if t is None or g is None:
                 rows.append((t, []))
                 continue
-            spans = units(t)
-            cut = removed_spans(spans, set(g.tolist()), [len(t[a:b].split()) for a, b in spans], least)
+            cut = removed_spans(units(t, least), set(g.tolist()), least)
             kept = [t[a:b] for a, b in zip([0, *[b for _, b in cut]], [*[a for a, _ in cut], len(t)], strict=True)]
             rows.append(("".join(kept), [{"start": a, "end": b} for a, b in cut]))
         return pd.DataFrame(rows, columns=["text", "removed"])

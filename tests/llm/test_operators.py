@@ -244,8 +244,8 @@ def brute_substring(texts, least=substring.MIN_WORDS):
     key = lambda i, t: (i is not None, i or 0)
     first = {}
     for i, t in sorted(texts, key=lambda x: key(*x)):
-        for k, (a, b) in enumerate(substring.units(t or "")):
-            w = t[a:b].lower().split()
+        for k, (a, b, w) in enumerate(substring.units(t or "")):
+            assert w == t[a:b].lower().split()
             if len(w) >= least:
                 first.setdefault(tuple(w), (i, t, k))
     out = []
@@ -254,10 +254,11 @@ def brute_substring(texts, least=substring.MIN_WORDS):
             out.append((i, t))
             continue
         spans = substring.units(t)
-        ws = [t[a:b].lower().split() for a, b in spans]
+        assert [a for a, *_ in spans] == [0, *[b for _, b, _ in spans[:-1]]] and spans[-1][1] == len(t)
+        ws = [w for *_, w in spans]
         gone = [len(w) >= least and first[tuple(w)] != (i, t, k) for k, w in enumerate(ws)]
         keep = [not (g or (len(ws[k]) < least and 0 < k < len(ws) - 1 and gone[k - 1] and gone[k + 1])) for k, g in enumerate(gone)]
-        out.append((i, "".join(t[a:b] for (a, b), x in zip(spans, keep, strict=True) if x)))
+        out.append((i, "".join(t[a:b] for (a, b, _), x in zip(spans, keep, strict=True) if x)))
     return out
 
 
@@ -278,6 +279,14 @@ def test_substring(spark):
     assert substring.dedup(documents(spark, texts), removed=None).columns == documents(spark, []).columns
 
 
+def test_passage_without_sentence_ends():
+    """Units fall on the same words of a passage wherever it stands."""
+    passage = prose(77, 80).replace(".", "")
+    one = {tuple(w) for *_, w in substring.units(prose(78, 33).replace(".", "") + " " + passage + " " + prose(79, 40))}
+    two = {tuple(w) for *_, w in substring.units(prose(80, 12).replace(".", "") + " " + passage)}
+    assert sum(map(len, one & two)) > 30
+
+
 def test_packing(spark):
     paths = queries.vocabulary("byte_bpe_50k.json"), queries.vocabulary("byte_bpe_50k.tiktoken"), queries.byte_pattern()
     texts = [*odd_texts(), (60, "a<|endoftext|>b"), (61, "漢字 \x85 é"), *[(100 + i, prose(i, i * 7)) for i in range(80)]]
