@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,55 +11,62 @@ from pyspark.sql import functions as F
 
 from docwright.functions.vectors import cosine
 
-#: Query vectors that one block holds: the broadcast side of a block is at most this many rows.
-BLOCK = 1024
+#: Query vectors of a block and chunks of a shard.
+BLOCK, SHARD = 1024, 16384
 
 
 def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 6, tenant: str | None = None, exact: bool = True) -> DataFrame:
     """query_id, vec_id, score, rank: the k nearest of ``chunks`` (vec_id, embedding) by rounded cosine, ties to smaller vec_id, without the query itself.
 
-    ``queries`` (query_id, embedding) is a stated set, met in blocks of ``BLOCK`` vectors. Each task keeps k rows for a
-    query, so what is shuffled grows with tasks and queries and not with pairs. With ``tenant`` only chunks of that tenant_id
-    take part.
+    Up to ``BLOCK`` queries go to every task, and the chunks are read once without a shuffle. More queries are dealt into
+    blocks and the chunks into shards; each (shard, block) is one bounded task. Either way a task keeps k rows for a query, so
+    what is shuffled grows with tasks and queries and not with pairs. With ``tenant`` only chunks of that tenant_id take part.
     """
     if tenant is not None:
         chunks = chunks.filter(F.col("tenant_id") == tenant)
-    chunks = chunks.filter(F.col("embedding").isNotNull())
+    chunks = chunks.filter(F.col("embedding").isNotNull()).select("vec_id", "embedding")
+    queries = queries.select("query_id", "embedding")
     if not exact:
         return _pairs(queries, chunks, k, digits)
-    n = max(1, -(-queries.count() // BLOCK))
-    blocks = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("block"))
-    out = None
-    for b in range(n):
-        rows = blocks.filter(F.col("block") == b).select("query_id", "embedding").collect()  # about BLOCK rows
-        if not rows:
-            continue
-        ids, q = np.array([r["query_id"] for r in rows]), np.array([r["embedding"] for r in rows], dtype=np.float64)
-        q /= np.linalg.norm(q, axis=1, keepdims=True)
-
-        def best(batches, ids=ids, q=q):
+    found = "query_id long, vec_id long, score double"
+    first = queries.limit(BLOCK + 1).toPandas()  # a bounded number
+    if len(first) <= BLOCK:
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             kept = None
             for pdf in batches:
-                if not len(pdf):
-                    continue
-                x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-                s = np.round(q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, digits)
-                s[ids[:, None] == pdf["vec_id"].to_numpy()[None, :]] = -np.inf
-                v = np.broadcast_to(pdf["vec_id"].to_numpy(), s.shape)
-                if kept is not None:
-                    s, v = np.concatenate([kept[0], s], axis=1), np.concatenate([kept[1], v], axis=1)
-                order = np.lexsort((v, -s), axis=1)[:, :k]
-                kept = np.take_along_axis(s, order, axis=1), np.take_along_axis(v, order, axis=1)
+                kept = _best(first, pdf, k, digits, kept)
             if kept is not None:
-                n = kept[0].shape[1]
-                out = pd.DataFrame({"query_id": np.repeat(ids, n), "vec_id": kept[1].ravel(), "score": kept[0].ravel()})
-                yield out[np.isfinite(out["score"])]
-
-        part = chunks.select("vec_id", "embedding").mapInPandas(best, "query_id long, vec_id long, score double")
-        out = part if out is None else out.union(part)
-    if out is None:
-        out = chunks.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
-    return ranked(out, k)
+                yield kept
+
+        return ranked(chunks.mapInPandas(scan, found), k)
+    blocks, shards = -(-queries.count() // BLOCK), -(-chunks.count() // SHARD)
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select("query_id", "embedding", deal("query_id", blocks).alias("block"), every(max(1, shards)).alias("shard"))
+    c = chunks.select("vec_id", "embedding", every(blocks).alias("block"), deal("vec_id", max(1, shards)).alias("shard"))
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = _best(left, right, k, digits)
+        return out if out is not None else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+
+    return ranked(q.groupBy("shard", "block").cogroup(c.groupBy("shard", "block")).applyInPandas(meet, found), k)
+
+
+def _best(queries: pd.DataFrame, chunks: pd.DataFrame, k: int, digits: int, kept: pd.DataFrame | None = None) -> pd.DataFrame | None:
+    """The k best (query_id, vec_id, score) of each query among the chunks and what was kept."""
+    if not len(queries) or not len(chunks):
+        return kept
+    ids, vec = queries["query_id"].to_numpy(), chunks["vec_id"].to_numpy()
+    unit = lambda e: (x := np.stack(e.to_numpy()).astype(np.float64)) / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(unit(queries["embedding"]) @ unit(chunks["embedding"]).T, digits)
+    s[(ids[:, None] == vec[None, :]) | ~np.isfinite(s)] = -np.inf
+    order = np.lexsort((np.broadcast_to(vec, s.shape), -s), axis=1)[:, :k]
+    out = pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "vec_id": vec[order].ravel(), "score": np.take_along_axis(s, order, axis=1).ravel()})
+    out = out[np.isfinite(out["score"])]
+    if kept is None:
+        return out
+    return pd.concat([kept, out]).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
 
 
 def _pairs(queries: DataFrame, chunks: DataFrame, k: int, digits: int) -> DataFrame:
