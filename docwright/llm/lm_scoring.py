@@ -23,7 +23,7 @@ result.
 
 from __future__ import annotations
 
-import uuid
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +36,7 @@ from .common import Scratch, crc_mod, one_thread
 CLASSES, HEAD, PAIRS, SLOT_CONTEXTS, ROUNDS, STEP, FOLDS, HELD_OUT, BLOCK = 32, 2048, 8192, 256, 4, 16384, 7, 2, 16_000_000
 LETTERS = HEAD + CLASSES  # a token's slot; LETTERS itself stands before a text
 END = b""
-RATE, DECAY = 0.25, 1e-7
+RATE, SLICE = 0.25, 50_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -135,22 +135,28 @@ def fit_slots(counts: np.ndarray, classes: np.ndarray, rounds: int = 40) -> np.n
 
 def _blocks(docs: DataFrame) -> DataFrame:
     """Documents as numbers in a block's vocabulary, and the vocabularies: block, word, number, n | block, doc_id, held_out, ids."""
-    schema = "block string, word binary, number int, n long, doc_id string, held_out boolean, ids binary"
+    schema = "block long, word binary, number int, n long, doc_id string, held_out boolean, ids binary"
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def written():
-            """The block's rows: numbers are renewed in the order of counts, so common tokens have small ones."""
-            block = uuid.uuid4().hex[:16]
+            """The block's rows, some at a time: numbers are renewed in the order of counts, so common tokens have small ones."""
+            block = int.from_bytes(os.urandom(8), "little") >> 1
             words = list(vocabulary)
+            vocabulary.clear()
             flat = np.concatenate([r[2] for r in rows])
             held = np.repeat([r[1] for r in rows], [len(r[2]) for r in rows])
             all_n, train = np.bincount(flat, minlength=len(words)), np.bincount(flat[~held], minlength=len(words))
             order = np.argsort(-all_n, kind="stable")
             rank = np.empty(len(words), dtype=np.int32)
             rank[order] = np.arange(len(words))
-            yield pd.DataFrame({"block": block, "word": words, "number": rank, "n": train, "doc_id": None, "held_out": pd.array([pd.NA] * len(words), dtype="boolean"), "ids": None})
-            none = pd.array([pd.NA] * len(rows), dtype="Int64")
-            yield pd.DataFrame({"block": block, "word": None, "number": none, "n": none, "doc_id": [r[0] for r in rows], "held_out": pd.array([r[1] for r in rows], dtype="boolean"), "ids": [rank[r[2]].astype("<i4").tobytes() for r in rows]})
+            del flat, held, all_n, order
+            for i in range(0, len(words), SLICE):
+                n = len(words[i : i + SLICE])
+                yield pd.DataFrame({"block": block, "word": words[i : i + n], "number": rank[i : i + n], "n": train[i : i + n], "doc_id": None, "held_out": pd.array([pd.NA] * n, dtype="boolean"), "ids": None})
+            for i in range(0, len(rows), 1000):
+                some = rows[i : i + 1000]
+                none = pd.array([pd.NA] * len(some), dtype="Int64")
+                yield pd.DataFrame({"block": block, "word": None, "number": none, "n": none, "doc_id": [r[0] for r in some], "held_out": pd.array([r[1] for r in some], dtype="boolean"), "ids": [rank[r[2]].astype("<i4").tobytes() for r in some]})
 
         vocabulary: dict = {}
         rows, size = [], 0
@@ -163,7 +169,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
                 size += len(text or "") + 1
                 if size > BLOCK:
                     yield from written()
-                    vocabulary, rows, size = {}, [], 0
+                    rows, size = [], 0
         if rows:
             yield from written()
 
@@ -190,7 +196,7 @@ def score(docs: DataFrame, head_size: int = HEAD, rounds: int = ROUNDS) -> DataF
             own = np.array([at.get(x, -1) for x in w], dtype=np.int32)
             yield pd.DataFrame({"block": pdf["block"], "number": pdf["number"], "c": pdf["c"], "lead": pdf["lead"], "slot": np.where(own >= 0, own, HEAD + class_of(w))})
 
-    known = scratch.table(words.mapInPandas(slotted, "block string, number int, c long, lead boolean, slot int"), "slots")
+    known = scratch.table(words.mapInPandas(slotted, "block long, number int, c long, lead boolean, slot int"), "slots")
     scratch.drop(words)
     rest = known.filter("lead and c > 0").groupBy("slot").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()  # one row a slot
     slot_n, slot_v = np.zeros(LETTERS, dtype=np.int64), np.zeros(LETTERS, dtype=np.int64)
