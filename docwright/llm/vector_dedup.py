@@ -76,6 +76,8 @@ def find_links(vectors: DataFrame, least: float = LEAST, most: int = MOST) -> Da
         return one.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     tables, bits = shape(largest, least)
     x = sample(reps, "rep", "embedding")
+    # Single-precision vectors are shipped as such; they are compared in double precision.
+    dtype = np.dtype("<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8")
     sent = spark.sparkContext.broadcast(Codes(x / np.linalg.norm(x, axis=1, keepdims=True), tables * bits))
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,7 +90,7 @@ def find_links(vectors: DataFrame, least: float = LEAST, most: int = MOST) -> Da
             b = sent.value(x / np.linalg.norm(x, axis=1, keepdims=True)).reshape(len(x), tables, bits)
             value = (b.astype(np.uint64) * weights).sum(axis=2)
             key = mix64(mix64(value * np.uint64(64) + np.arange(tables, dtype=np.uint64)) ^ pdf["label"].to_numpy().astype(np.int64).astype(np.uint64)[:, None]).astype(np.int64)
-            yield pd.DataFrame({"rep": pdf["rep"], "copies": pdf["copies"], "label": pdf["label"], "x": [r.tobytes() for r in x], "keys": list(key)})
+            yield pd.DataFrame({"rep": pdf["rep"], "copies": pdf["copies"], "label": pdf["label"], "x": [r.tobytes() for r in x.astype(dtype)], "keys": list(key)})
 
     coded = scratch.table(reps.mapInPandas(code, "rep long, copies long, label long, x binary, keys array<long>"), "codes")
     rows = coded.select("rep", "copies", "label", "x", "keys", F.posexplode("keys").alias("table", "key"))
@@ -107,7 +109,7 @@ def find_links(vectors: DataFrame, least: float = LEAST, most: int = MOST) -> Da
                     continue
                 g = g.sort_values("rep")
                 ids = g["rep"].to_numpy()
-                x = np.frombuffer(b"".join(g["x"]), dtype=np.float64).reshape(len(g), -1)
+                x = np.frombuffer(b"".join(g["x"]), dtype=dtype).reshape(len(g), -1).astype(np.float64)
                 n, reach = bucket_links(ids, g["copies"].to_numpy(), x, np.stack(g["keys"].to_numpy()), table, g["chunk"].to_numpy(), i, j, least)
                 keep = (n > 0) | (ids[reach] != ids)
                 out.append(pd.DataFrame({"rep": ids[keep], "n": n[keep], "to": ids[reach][keep]}))
