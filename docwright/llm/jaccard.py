@@ -32,7 +32,7 @@ from .common import Scratch, WordHashes, mix64, one_thread, row_key
 from .components import components
 from .vector_dedup import _groups, _reach
 
-WORDS, LEAST, MISS, DEPTH, SMALL, CHUNK_ROWS, CHUNK_TOKENS = 5, 0.8, 5e-5, 3, 4096, 512, 1_000_000
+WORDS, LEAST, MISS, DEPTH, SMALL, CHUNK_ROWS, CHUNK_TOKENS = 5, 0.8, 5e-5, 3, 4096, 256, 1_000_000
 SIGNATURE, PICKS, SKETCH, SKETCH_LEAST = 32, 3, 16, 6
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
