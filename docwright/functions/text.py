@@ -209,9 +209,12 @@ def guard_question(text: Column) -> Column:
 def redact(text: Column) -> Column:
     """struct(text, kinds): e-mail addresses, then phone numbers, then social security numbers."""
     out, kinds = text, []
-    for kind, pattern in (("email", EMAIL), ("phone", PHONE), ("ssn", SSN)):
-        kinds.append(F.when(out.rlike(pattern), kind))
-        out = F.regexp_replace(out, pattern, f"[{kind.upper()}_REDACTED]")
+    # A character that every match needs is looked for first: most texts have no address.
+    for kind, pattern, needs in (("email", EMAIL, F.contains(text, F.lit("@"))), ("phone", PHONE, None), ("ssn", SSN, None)):
+        hit = out.rlike(pattern) if needs is None else needs & out.rlike(pattern)
+        kinds.append(F.when(hit, kind))
+        replaced = F.regexp_replace(out, pattern, f"[{kind.upper()}_REDACTED]")
+        out = replaced if needs is None else F.when(needs, replaced).otherwise(out)
     return F.struct(out.alias("text"), F.array_compact(F.array(*kinds)).alias("kinds"))
 
 
