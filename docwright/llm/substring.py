@@ -1,10 +1,15 @@
-"""Substring dedup by hashing lines and sentences.
-
-A unit is a line, cut further after ``.``, ``!`` or ``?`` before a blank once it has ``MIN_WORDS`` words, so a passage put in the
-middle of a line is still made of whole units. What is longer than ``LONG_WORDS`` words is cut after words whose hash is 0
-modulo ``CUT_HASH``, which fall on the same words wherever the passage stands. Units are normalised (lower case, single
-blanks) and units of at least ``MIN_WORDS`` words get a 128-bit digest. Digests are grouped over all documents; the occurrence that is first by (doc_id, row hash, place) stays and
-the others go, with the original offsets retained. Shorter units are too common to judge alone: one goes when both its
+"""Substring dedup by hashing runs of words that content alone delimits.
+
+A text is cut after words. A line end is the best place, then ``.``, ``!`` or ``?`` before a blank, then any word, the smaller
+hash first. A word is a cut when no word up to ``MIN_WORDS`` - 1 away, or up to ``NEAR`` away for a word inside a sentence, is a
+better place. So a cut depends on the words close to it and not on where the line, the sentence or the text began: a passage is
+cut at the same words wherever it stands, short lines are joined until they hold ``MIN_WORDS`` words, and a sentence glued to
+other words is cut as it is alone. Runs without a cut, such as one word again and again, that are longer than ``LONG_WORDS``
+words are cut every ``RUN`` words. In scripts written without blanks a few letters count as a word (see ``pieces``).
+
+Units are normalised (lower case, single blanks) and units of at least ``MIN_WORDS`` words get a 128-bit digest. Digests are
+grouped over all documents; the occurrence that is first by (doc_id, row hash, place) stays and the others go, with the original
+offsets retained. Shorter units are found only where a text begins or ends and next to the runs; one goes when both its
 neighbours in the document go.
 
 The grouping is pre-aggregated before its shuffle, and the occurrences meet their digest's first one in a join of two
@@ -18,55 +23,99 @@ document. Extra columns are kept. An empty table gives an empty result.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, row_key
+from .common import Scratch, WordHashes, row_key
+
+MIN_WORDS, LONG_WORDS, NEAR, RUN = 5, 32, 5, 12
+PIECE = re.compile(r"\S+\s*")
+#: Thai to Khmer, kana, Han and compatibility forms: letters that no blanks divide into words.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+STOPS = frozenset(".!?\u3002\uff01\uff1f")
+hashes = cache(WordHashes)
+
+
+def pieces(text: str) -> list[str]:
+    """Words with the blanks behind them. Letters of ``UNSPACED`` end a word when their code is even, and so do full stops after them."""
+    found = PIECE.findall(text)
+    if text.isascii() or not UNSPACED.search(text):
+        return found
+    out = []
+    for p in found:
+        begin = 0
+        n = len(p.rstrip())
+        for i in range(n - 1):
+            if (UNSPACED.match(p[i]) and ord(p[i]) % 2 == 0 and p[i + 1] not in STOPS) or (ord(p[i]) > 127 and p[i] in STOPS):
+                out.append(p[begin : i + 1])
+                begin = i + 1
+        out.append(p[begin:])
+    return out
+
 
-MIN_WORDS, LONG_WORDS, CUT_HASH = 5, 32, 8
-CUT, WORD = re.compile(r"[.!?](?=\s)|\n"), re.compile(r"\S+")
+def size(words: list[str], least: int = MIN_WORDS) -> int:
+    """Number of words, at least ``least`` or exact; parts of words without blanks count."""
+    return len(words) if len(words) >= least else sum(len(pieces(w)) for w in words)
 
 
 def units(text: str, least: int = MIN_WORDS) -> list[tuple[int, int, list[str]]]:
     """(start, end, lower-case words) of the units, in characters; together they are the whole text."""
+    if not text:
+        return []
+    found = pieces(text)
+    if not found:
+        return [(0, len(text), [])]
+    words = text.lower().split()
+    spaced = len(words) == len(found)
+    at = cuts(found, words if spaced else [p.rstrip().lower() for p in found], least)
+    lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+    ends = len(text) - lengths.sum() + np.cumsum(lengths)
     out: list[tuple[int, int, list[str]]] = []
-    begin = held = 0
-    words: list[str] = []
-    for m in CUT.finditer(text):
-        end = m.end()
-        words += text[begin:end].lower().split()
-        begin = end
-        if len(words) >= least or m[0] == "\n":
-            _cut_long(out, text, held, end, words, least)
-            held, words = end, []
-    if held < len(text):
-        words += text[begin:].lower().split()
-        _cut_long(out, text, held, len(text), words, least)
+    start = first = 0
+    for i in at:
+        p, n = found[i], len(found[i].rstrip())
+        end = int(ends[i]) - len(p) + max(n, p.rfind("\n") + 1)
+        out.append((start, end, words[first : i + 1] if spaced else text[start:end].lower().split()))
+        start, first = end, i + 1
+    if start < len(text):
+        out.append((start, len(text), words[first:] if spaced else text[start:].lower().split()))
     return out
 
 
-def _cut_long(out: list, text: str, start: int, end: int, words: list[str], least: int) -> None:
-    if len(words) <= LONG_WORDS:
-        out.append((start, end, words))
-        return
-    first = 0
-    for i, m in enumerate(WORD.finditer(text, start, end), 1):
-        if i - first >= least and zlib.crc32(m[0].lower().encode()) % CUT_HASH == 0 and i < len(words):
-            out.append((start, m.end(), words[first:i]))
-            start, first = m.end(), i
-    out.append((start, end, words[first:]))
+def cuts(found: list[str], words: list[str], least: int) -> list[int]:
+    """Numbers of the words after which a text is cut, but for the last."""
+    n = len(words)
+    rank = np.array([0 if "\n" in p else 1 if w[-1] in STOPS else 2 for p, w in zip(found, words, strict=True)], dtype=np.uint64)
+    # Full stops and line ends come first; equal words count as a worse place than the first of them.
+    key = (rank << np.uint64(62)) | (hashes()(words) >> np.uint64(2))
+    best = np.ones(n, dtype=bool)
+    inside = rank == 2
+    for d in range(1, min(max(least - 1, NEAR), n - 1) + 1):
+        ahead, behind = key[:-d] <= key[d:], key[d:] < key[:-d]
+        if d >= least:
+            ahead, behind = ahead | ~inside[:-d], behind | ~inside[d:]
+        best[:-d] &= ahead
+        best[d:] &= behind
+    best[-1] = False
+    out, last = [], -1
+    for i in [*np.flatnonzero(best).tolist(), n - 1]:
+        if i - last > LONG_WORDS:
+            out += range(last + RUN, i - RUN + 1, RUN)
+        out.append(i)
+        last = i
+    return out[:-1]
 
 
 def removed_spans(spans: list, gone: set, least: int = MIN_WORDS) -> list[tuple[int, int]]:
     """Merged (start, end) of the units in ``gone`` and of short ones between two of them."""
     out: list[list[int]] = []
     for i, (a, b, words) in enumerate(spans):
-        if i in gone or (len(words) < least and i - 1 in gone and i + 1 in gone):
+        if i in gone or (size(words, least) < least and i - 1 in gone and i + 1 in gone):
             if out and out[-1][1] == a:
                 out[-1][1] = b
             else:
@@ -90,7 +139,7 @@ def unit_digests(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
                     if not t:
                         continue
                     for k, (_, _, w) in enumerate(units(t, least)):
-                        if len(w) >= least:
+                        if size(w, least) >= least:
                             found.append(digest(" ".join(w).encode()))
                             place.append(k)
                             at += 1

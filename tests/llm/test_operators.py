@@ -287,6 +287,41 @@ def test_passage_without_sentence_ends():
     assert sum(map(len, one & two)) > 30
 
 
+def lexicon(seed, n):
+    r = random.Random(seed)
+    return ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 8))) for _ in range(n)]
+
+
+def test_passages_of_all_layouts_leave_no_shared_window(spark):
+    """No 50 words in a row are left in two documents: short lines, lists, verse, code, glued sentences, words in a run."""
+    words = lexicon(1, 3000)
+    r = random.Random(2)
+    w = lambda n: [r.choice(words) for _ in range(n)]
+    line = lambda n, k, mark="": "\n" + "".join(mark + " ".join(w(k)) + "\n" for _ in range(n))
+    passages = [line(20, 4), line(30, 3, "- "), line(60, 1), line(25, 3, "    "), " ".join(w(55)), " ".join(" ".join(w(r.randint(3, 30))) + "." for _ in range(8)), "again " * 90]
+    texts = []
+    for i, p in enumerate(passages):
+        for j in range(3):
+            texts.append((10 * i + j, " ".join(w(r.randint(3, 40))) + " " + p + " " + " ".join(w(r.randint(3, 40)))))
+    windows = lambda t: {tuple(x[i : i + 50]) for x in [t.lower().split()] for i in range(len(x) - 49)}
+    shared = lambda rows: sum(n > 1 for n in Counter(x for _, t in rows for x in windows(t)).values())
+    assert shared(texts) > 0
+    got = {x["doc_id"]: x["text"] for x in substring.dedup(documents(spark, texts)).collect()}
+    assert shared(got.items()) == 0
+    assert all(len(got[i].split()) == len(t.split()) for i, t in texts if i % 10 == 0 and i < 60)
+
+
+def test_passages_without_blanks(spark):
+    """Chinese passages: most letters of a repeat go, the first copy stays."""
+    r = random.Random(3)
+    han = lambda n: "".join(chr(r.randint(0x4E00, 0x6FFF)) for _ in range(n))
+    passages = [han(200), "。".join(han(25) for _ in range(8))]
+    texts = [(10 * i + j, han(r.randint(5, 60)) + p + han(30)) for i, p in enumerate(passages) for j in range(2)]
+    got = {x["doc_id"]: x["text"] for x in substring.dedup(documents(spark, texts)).collect()}
+    for i, t in texts:
+        assert len(got[i]) == len(t) if i % 10 == 0 else len(t) - len(got[i]) > 120
+
+
 def test_packing(spark):
     paths = queries.vocabulary("byte_bpe_50k.json"), queries.vocabulary("byte_bpe_50k.tiktoken"), queries.byte_pattern()
     texts = [*odd_texts(), (60, "a<|endoftext|>b"), (61, "漢字 \x85 é"), *[(100 + i, prose(i, i * 7)) for i in range(80)]]
