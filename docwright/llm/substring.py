@@ -8,9 +8,10 @@ other words is cut as it is alone. Runs without a cut, such as one word again an
 words are cut every ``RUN`` words. In scripts written without blanks a few letters count as a word (see ``pieces``).
 
 Units are normalised (lower case, single blanks) and units of at least ``MIN_WORDS`` words get a 128-bit digest. Digests are
-grouped over all documents; the occurrence that is first by (doc_id, row hash, place) stays and the others go, with the original
-offsets retained. Shorter units are found only where a text begins or ends and next to the runs; one goes when both its
-neighbours in the document go.
+grouped over all documents; the occurrence that is first by (doc_id, row hash, place) stays and the others are repeats. Shorter
+units are found only where a text begins or ends and next to the runs; one counts as a repeat when both its neighbours do.
+Neighbouring repeats make a passage. A passage of at least ``MIN_RUN`` words goes, with the original offsets retained; a shorter
+one stays, since sentences of a few words recur in texts that have nothing else in common (``least_run=1`` removes them too).
 
 The grouping is pre-aggregated before its shuffle, and the occurrences meet their digest's first one in a join of two
 written tables, where Spark splits the partition of a hot line.
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, WordHashes, row_key
 
-MIN_WORDS, LONG_WORDS, NEAR, RUN = 5, 32, 5, 12
+MIN_WORDS, LONG_WORDS, NEAR, RUN, MIN_RUN = 5, 32, 5, 12, 20
 PIECE = re.compile(r"\S+\s*")
 #: Thai to Khmer, kana, Han and compatibility forms: letters that no blanks divide into words.
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
@@ -111,16 +112,18 @@ def cuts(found: list[str], words: list[str], least: int) -> list[int]:
     return out[:-1]
 
 
-def removed_spans(spans: list, gone: set, least: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """Merged (start, end) of the units in ``gone`` and of short ones between two of them."""
+def removed_spans(spans: list, gone: set, least: int = MIN_WORDS, least_run: int = MIN_RUN) -> list[tuple[int, int]]:
+    """Merged (start, end) of the units in ``gone`` and of short ones between two of them, where they hold ``least_run`` words."""
     out: list[list[int]] = []
     for i, (a, b, words) in enumerate(spans):
         if i in gone or (size(words, least) < least and i - 1 in gone and i + 1 in gone):
+            n = size(words, least_run)
             if out and out[-1][1] == a:
                 out[-1][1] = b
+                out[-1][2] += n
             else:
-                out.append([a, b])
-    return [tuple(x) for x in out]
+                out.append([a, b, n])
+    return [(a, b) for a, b, n in out if n >= least_run]
 
 
 def unit_digests(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
@@ -150,7 +153,7 @@ def unit_digests(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     return docs.select("doc_id", "row", "text").mapInPandas(digests, "d1 long, d2 long, doc_id long, row long, place int")
 
 
-def dedup(docs: DataFrame, least: int = MIN_WORDS, removed: str | None = "removed") -> DataFrame:
+def dedup(docs: DataFrame, least: int = MIN_WORDS, removed: str | None = "removed", least_run: int = MIN_RUN) -> DataFrame:
     """All columns of docs with ``text`` shortened, and ``removed``: array of (start, end) in characters of the old text.
 
     A column of docs with the name ``removed`` gives way to it; None adds nothing.
@@ -178,7 +181,7 @@ def dedup(docs: DataFrame, least: int = MIN_WORDS, removed: str | None = "remove
             if t is None or g is None:
                 rows.append((t, []))
                 continue
-            cut = removed_spans(units(t, least), set(g.tolist()), least)
+            cut = removed_spans(units(t, least), set(g.tolist()), least, least_run)
             kept = [t[a:b] for a, b in zip([0, *[b for _, b in cut]], [*[a for a, _ in cut], len(t)], strict=True)]
             rows.append(("".join(kept), [{"start": a, "end": b} for a, b in cut]))
         return pd.DataFrame(rows, columns=["text", "removed"])

@@ -1,6 +1,7 @@
 """Each operator against brute force, and its edge cases."""
 
 import hashlib
+import itertools
 import json
 import random
 import zlib
@@ -240,7 +241,7 @@ def test_jaccard_keeps_one_of_each_class(spark):
     assert jaccard.join(documents(spark, [])).count() == 0
 
 
-def brute_substring(texts, least=substring.MIN_WORDS):
+def brute_substring(texts, least=substring.MIN_WORDS, least_run=substring.MIN_RUN):
     key = lambda i, t: (i is not None, i or 0)
     first = {}
     for i, t in sorted(texts, key=lambda x: key(*x)):
@@ -257,7 +258,11 @@ def brute_substring(texts, least=substring.MIN_WORDS):
         assert [a for a, *_ in spans] == [0, *[b for _, b, _ in spans[:-1]]] and spans[-1][1] == len(t)
         ws = [w for *_, w in spans]
         gone = [len(w) >= least and first[tuple(w)] != (i, t, k) for k, w in enumerate(ws)]
-        keep = [not (g or (len(ws[k]) < least and 0 < k < len(ws) - 1 and gone[k - 1] and gone[k + 1])) for k, g in enumerate(gone)]
+        gone = [g or (len(ws[k]) < least and 0 < k < len(ws) - 1 and gone[k - 1] and gone[k + 1]) for k, g in enumerate(gone)]
+        keep = []
+        for g, run in itertools.groupby(range(len(ws)), gone.__getitem__):
+            run = list(run)
+            keep += [not g or sum(len(ws[k]) for k in run) < least_run] * len(run)
         out.append((i, "".join(t[a:b] for (a, b, _), x in zip(spans, keep, strict=True) if x)))
     return out
 
@@ -270,11 +275,13 @@ def test_substring(spark):
     out = substring.dedup(documents(spark, texts))
     got = [(r["doc_id"], r["text"]) for r in out.collect()]
     assert sorted(got, key=repr) == sorted(brute_substring(texts), key=repr)
-    assert sum("goes on for several more words" in (t or "") for _, t in got) == 1
     for i, t, spans in [(r["doc_id"], r["text"], r["removed"]) for r in out.filter("doc_id between 200 and 300").collect()]:
         old = dict(texts)[i]
         at = [0, *[x for s in spans for x in (s["start"], s["end"])], len(old)]
         assert "".join(old[a:b] for a, b in zip(at[::2], at[1::2], strict=True)) == t
+    every = [(r["doc_id"], r["text"]) for r in substring.dedup(documents(spark, texts), least_run=1).collect()]
+    assert sorted(every, key=repr) == sorted(brute_substring(texts, least_run=1), key=repr)
+    assert sum("goes on for several more words" in (t or "") for _, t in every) == 1
     assert substring.dedup(documents(spark, [])).count() == 0
     assert substring.dedup(documents(spark, texts), removed=None).columns == documents(spark, []).columns
 
@@ -311,6 +318,21 @@ def test_passages_of_all_layouts_leave_no_shared_window(spark):
     assert all(len(got[i].split()) == len(t.split()) for i, t in texts if i % 10 == 0 and i < 60)
 
 
+def test_short_sentences_that_recur_stay(spark):
+    """Texts that share only sentences of a few words are left alone; passages of over 50 words between them are found."""
+    words = lexicon(9, 3000)
+    r = random.Random(10)
+    short = [" ".join(r.choice(words) for _ in range(r.randint(5, 9))) + "." for _ in range(40)]
+    passages = [" ".join(" ".join(r.choice(words) for _ in range(r.randint(6, 20))) + "." for _ in range(6)) for _ in range(20)]
+    own = lambda: " ".join(r.choice(words) for _ in range(r.randint(8, 30))) + "."
+    texts = [(i, " ".join(x for _ in range(8) for x in (own(), r.choice(short)))) for i in range(300)]
+    planted = [(1000 + 10 * i + j, f"{own()} {p} {own()}") for i, p in enumerate(passages) for j in range(2)]
+    got = {x["doc_id"]: x["text"] for x in substring.dedup(documents(spark, texts + planted)).collect()}
+    assert sum(got[i] == t for i, t in texts) >= 0.95 * len(texts)
+    assert all(got[i] == t for i, t in planted if i % 10 == 0)
+    assert all(len(t.split()) - len(got[i].split()) >= 0.5 * len(passages[(i - 1000) // 10].split()) for i, t in planted if i % 10)
+
+
 def test_passages_without_blanks(spark):
     """Chinese passages: most letters of a repeat go, the first copy stays."""
     r = random.Random(3)
