@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docwright.llm import jaccard, packing, quality, substring
-from docwright.llm.common import Scratch
+from docwright.llm.common import Scratch, release
 from docwright.llm.queries import byte_pattern, table, vocabulary
 
 
@@ -48,4 +48,5 @@ def run(spark, sf_dir):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = scratch.table(docs, name)
+            release(but=scratch)
     return docs

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests), a folder of our own is set."""
+    """The folder named in spark.checkpoint.dir; where it is unset in local mode (tests), a folder of our own is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="docwright-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -24,28 +27,43 @@ class Scratch:
     """Parquet tables in the shared folder.
 
     A written table cuts the lineage, survives the loss of executors, and is read by every stage that follows, so nothing
-    costly is computed twice. ``drop`` frees a table that no returned frame reads.
+    costly is computed twice. ``drop`` frees a table that no returned frame reads; ``release`` the tables of all operators.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex[:12]}"
-        self.paths: dict[int, str] = {}
         self.count = 0
+        _made.append(self)
 
     def table(self, df: DataFrame, label: str) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count:02d}-{label}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._docwright_path = path
         return out
 
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, *tables: DataFrame) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._docwright_path)
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(t._docwright_path)
+
+    def close(self) -> None:
+        """Frees all tables; what was returned on top of them must have been written."""
+        self._delete(self.root)
+
+
+_made: list[Scratch] = []
+
+
+def release(but: Scratch | None = None) -> None:
+    """Frees the tables of all operators called so far, but for one; for callers that have written the results."""
+    for s in [s for s in _made if s is not but]:
+        s.close()
+        _made.remove(s)
 
 
 def row_key(df: DataFrame, key: str, text: str) -> Column:

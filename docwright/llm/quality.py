@@ -11,8 +11,9 @@ documents and whole texts, in one pass without a shuffle.
 
 Edge cases: null texts are empty; an empty text is scored like any other, by its constant pseudo-term. Rows with a null
 doc_id are scored. Duplicate label rows are each a vote; null labels are not. With no labels of a class all scores are that
-of the other class; with none at all, 0.5. Repeated rows score alike. Ties among neighbours go to the first in the order
-of (doc_id hash, doc_id). Extra columns are ignored by ``score`` and kept by ``keep_good``. An empty table gives an empty
+of the other class; with none at all, 0.5. Repeated rows score alike. Of neighbours that are equally near, the first in the
+order of (doc_id hash, doc_id, features) vote. ``score`` and ``keep_good`` keep extra columns; columns named score, predicted
+or held_out give way to those that ``score`` adds. ``classify`` returns its four columns only. An empty table gives an empty
 result.
 """
 
@@ -92,12 +93,21 @@ class Neighbours:
             return np.full(len(counts), 0.5)
         at = self._unit(_scaled(counts, self.idf) @ self.basis)
         near = at @ self.points.T
-        k = min(self.k, near.shape[1])
-        top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        top = first_largest(near, min(self.k, near.shape[1]))
         w = np.maximum(np.take_along_axis(near, top, axis=1), 1e-6).astype(np.float64) ** 4
         return (w * self.labels[top]).sum(axis=1) / w.sum(axis=1)
 
 
+def first_largest(x: np.ndarray, k: int) -> np.ndarray:
+    """(n, k) places of the k largest values of each row, in the order of places; of equal values the first ones."""
+    least = np.partition(x, x.shape[1] - k, axis=1)[:, x.shape[1] - k][:, None]
+    above, equal = x > least, x == least
+    room = k - above.sum(axis=1, keepdims=True)
+    crowded = np.flatnonzero(equal.sum(axis=1) > room[:, 0])
+    equal[crowded] &= np.cumsum(equal[crowded], axis=1) <= room[crowded]
+    return np.nonzero(above | equal)[1].reshape(len(x), k)
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, rank: int = RANK, k: int = K) -> Neighbours:
     """Fits on training rows: those whose crc32(doc_id as text) modulo FOLDS is not HELD_OUT."""
     train = labels.filter((crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").alias("label"), F.xxhash64("doc_id").alias("h"))
@@ -108,13 +118,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, rank: in
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "h": pdf["h"], "x": [features(t).astype(np.float16).tobytes() for t in pdf["text"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "h": pdf["h"], "x": [features(t).tobytes() for t in pdf["text"]]})
 
     # A doc_id that many rows share gives the same bounded number of votes.
     texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     found = texts.mapInPandas(vectors, "doc_id long, label int, h long, x binary").orderBy("h", "doc_id", "x").limit(2 * per_class).collect()
-    x = np.stack([np.frombuffer(r["x"], dtype=np.float16) for r in found]).astype(np.float32) if found else np.zeros((0, BINS + EXTRA), dtype=np.float32)
-    x = np.nan_to_num(x, posinf=65504.0)
+    x = np.stack([np.frombuffer(r["x"], dtype=np.float32) for r in found]) if found else np.zeros((0, BINS + EXTRA), dtype=np.float32)
     return Neighbours(x, np.array([r["label"] for r in found]), rank, k)
 
 

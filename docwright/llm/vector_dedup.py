@@ -2,10 +2,12 @@
 
 Equal vectors of a label are one representative with a count. Representatives get a learned binary code that is cut into
 ``tables`` substrings; a table groups rows of a label by the value of its substring. Two codes that differ in fewer bits
-than there are tables share a bucket (pigeonhole), and pairs at the threshold share one with probability 1 - ``miss``:
-substring length follows the number of rows, and the number of tables follows the length. In a bucket all pairs are
-compared by cosine in double precision, in blocks; a pair counts in the first table that it shares. Rows leave a bucket as
-a count of links and one edge towards the smallest row that they reach there, never as pairs.
+than there are tables share a bucket (pigeonhole), and pairs at the threshold share one, and lie within the Hamming radius,
+with probability 1 - ``miss``: substring length follows the number of rows, and the number of tables and the radius follow
+from how often bits differ in pairs at the threshold around sampled vectors, as measured, since vectors that share a
+direction lie wider apart after centring. In a bucket codes are compared first; pairs within the radius are compared by cosine in
+double precision. A pair counts in the first table that it shares. Rows leave a bucket as a count of links and one edge
+towards the smallest row that they reach there, never as pairs.
 
 A bucket of more than ``most`` rows is dealt into chunks that meet pair by pair, each pair of chunks in a task of its own.
 
@@ -31,11 +33,29 @@ from .itq import Codes, sample, takes_part, usual_size
 LEAST, PER_BUCKET, MISS, MOST = 0.98, 32, 1e-5, 2048
 
 
-def shape(n: int, least: float = LEAST, per_bucket: int = PER_BUCKET, miss: float = MISS) -> tuple[int, int]:
-    """(tables, bits of a substring) for labels of up to n rows."""
+def differing(x: np.ndarray, least: float = LEAST, seed: int = 5) -> np.ndarray:
+    """Of pairs at cosine ``least``, one at each of the unit vectors x: the share of code bits that differ."""
+    d = x.shape[1]
+    codes = Codes(x, 8 * d)
+    side = np.random.default_rng(seed).standard_normal(x.shape)
+    side -= np.einsum("ij,ij->i", side, x)[:, None] * x
+    side /= np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-12)
+    return (codes(x) != codes(least * x + math.sqrt(1 - least**2) * side)).mean(axis=1)
+
+
+def shape(n: int, x: np.ndarray, least: float = LEAST, per_bucket: int = PER_BUCKET, miss: float = MISS) -> tuple[int, int, int]:
+    """(tables, bits of a substring, Hamming radius) for labels of up to n rows, from sampled unit vectors x."""
     bits = min(20, max(6, math.ceil(math.log2(max(2, n / per_bucket)))))
-    same = (1 - math.acos(least) / math.pi) ** bits
-    return math.ceil(math.log(miss) / math.log(1 - same)), bits
+    p = np.clip(differing(x, least), 1e-3, 0.5)
+    tables = 1
+    while ((1 - (1 - p) ** bits) ** tables).mean() > miss / 2:
+        tables += 1
+    total = tables * bits
+    at = np.arange(total + 1)
+    choose = np.array([math.lgamma(total + 1) - math.lgamma(i + 1) - math.lgamma(total - i + 1) for i in at])
+    exactly = np.exp(choose + at * np.log(p)[:, None] + (total - at) * np.log1p(-p)[:, None]).mean(axis=0)
+    beyond = 1 - np.cumsum(exactly)
+    return tables, bits, int(np.argmax(beyond <= miss / 2))
 
 
 def _reach(linked: np.ndarray) -> np.ndarray:
@@ -49,16 +69,31 @@ def _reach(linked: np.ndarray) -> np.ndarray:
         lab = new
 
 
-def bucket_links(ids, counts, x, keys, table: int, chunk, i: int, j: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(links first seen in this table, weighted by counts; the smallest row reached) of a bucket's rows, ordered by id."""
-    norm = np.sqrt(np.einsum("ij,ij->i", x, x))
-    near = (x @ x.T) / np.outer(norm, norm) >= least
+def bucket_links(counts, x, code, table: int, bits: int, radius: int, chunk, i: int, j: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(links first seen in this table, weighted by counts; the smallest row reached) of a bucket's rows, ordered by id.
+
+    ``code``: (n, tables * bits) of 0 and 1.
+    """
+    n = len(x)
+    words = np.packbits(code, axis=1)
+    words = np.pad(words, ((0, 0), (0, -words.shape[1] % 8))).view(np.uint64)
+    far = np.zeros((n, n), dtype=np.int16)
+    for w in words.T:
+        far += np.bitwise_count(w[:, None] ^ w[None, :])
+    near = far <= radius
     np.fill_diagonal(near, False)
     if i != j:  # rows of one chunk meet in the group of that chunk alone
         near &= chunk[:, None] != chunk[None, :]
+    unit = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    a, b = np.nonzero(near)
+    if len(a) * 8 < n * n:
+        near[a, b] = np.einsum("ij,ij->i", unit[a], unit[b]) >= least
+    else:
+        near &= unit @ unit.T >= least
     first = near.copy()
     for s in range(table):
-        first &= keys[:, s][:, None] != keys[:, s][None, :]
+        own = code[:, s * bits : (s + 1) * bits] @ (1 << np.arange(bits))
+        first &= own[:, None] != own[None, :]
     return first @ counts, _reach(near)
 
 
@@ -74,11 +109,12 @@ def find_links(vectors: DataFrame, least: float = LEAST, most: int = MOST) -> Da
     largest = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     if not largest:
         return one.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    tables, bits = shape(largest, least)
     x = sample(reps, "rep", "embedding")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tables, bits, radius = shape(largest, x, least)
     # Single-precision vectors are shipped as such; they are compared in double precision.
     dtype = np.dtype("<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8")
-    sent = spark.sparkContext.broadcast(Codes(x / np.linalg.norm(x, axis=1, keepdims=True), tables * bits))
+    sent = spark.sparkContext.broadcast(Codes(x, tables * bits))
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one_thread()
@@ -87,18 +123,18 @@ def find_links(vectors: DataFrame, least: float = LEAST, most: int = MOST) -> Da
             if not len(pdf):
                 continue
             x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-            b = sent.value(x / np.linalg.norm(x, axis=1, keepdims=True)).reshape(len(x), tables, bits)
-            value = (b.astype(np.uint64) * weights).sum(axis=2)
+            b = sent.value(x / np.linalg.norm(x, axis=1, keepdims=True))
+            value = (b.reshape(len(x), tables, bits).astype(np.uint64) * weights).sum(axis=2)
             key = mix64(mix64(value * np.uint64(64) + np.arange(tables, dtype=np.uint64)) ^ pdf["label"].to_numpy().astype(np.int64).astype(np.uint64)[:, None]).astype(np.int64)
-            yield pd.DataFrame({"rep": pdf["rep"], "copies": pdf["copies"], "label": pdf["label"], "x": [r.tobytes() for r in x.astype(dtype)], "keys": list(key)})
+            yield pd.DataFrame({"rep": pdf["rep"], "copies": pdf["copies"], "label": pdf["label"], "x": [r.tobytes() for r in x.astype(dtype)], "code": [r.tobytes() for r in np.packbits(b, axis=1)], "keys": list(key)})
 
-    coded = scratch.table(reps.mapInPandas(code, "rep long, copies long, label long, x binary, keys array<long>"), "codes")
-    rows = coded.select("rep", "copies", "label", "x", "keys", F.posexplode("keys").alias("table", "key"))
+    coded = scratch.table(reps.mapInPandas(code, "rep long, copies long, label long, x binary, code binary, keys array<long>"), "codes")
+    rows = coded.select("rep", "copies", "label", "x", "code", F.posexplode("keys").alias("table", "key"))
     sizes = scratch.table(coded.select(F.explode("keys").alias("key")).groupBy("key").count().filter("count > 1"), "sizes")
     rows = rows.join(sizes, "key").withColumn("chunks", F.ceil(F.col("count") / most).cast("int"))
     rows = rows.withColumn("chunk", F.when(F.col("chunks") > 1, F.pmod(F.xxhash64("rep"), F.col("chunks"))).otherwise(0).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).select("key", "table", "i", "j", "chunk", "rep", "copies", "label", "x", "keys")
+    rows = rows.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).select("key", "table", "i", "j", "chunk", "rep", "copies", "label", "x", "code")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one_thread()
@@ -110,7 +146,8 @@ def find_links(vectors: DataFrame, least: float = LEAST, most: int = MOST) -> Da
                 g = g.sort_values("rep")
                 ids = g["rep"].to_numpy()
                 x = np.frombuffer(b"".join(g["x"]), dtype=dtype).reshape(len(g), -1).astype(np.float64)
-                n, reach = bucket_links(ids, g["copies"].to_numpy(), x, np.stack(g["keys"].to_numpy()), table, g["chunk"].to_numpy(), i, j, least)
+                own = np.unpackbits(np.frombuffer(b"".join(g["code"]), dtype=np.uint8).reshape(len(g), -1), axis=1, count=tables * bits)
+                n, reach = bucket_links(g["copies"].to_numpy(), x, own, table, bits, radius, g["chunk"].to_numpy(), i, j, least)
                 keep = (n > 0) | (ids[reach] != ids)
                 out.append(pd.DataFrame({"rep": ids[keep], "n": n[keep], "to": ids[reach][keep]}))
             if out:

@@ -2,7 +2,6 @@
 
 import hashlib
 import itertools
-import json
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -11,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docwright.llm import ann, bpe_tree, chat, jaccard, lm_scoring, packing, quality, queries, substring, url_filter, vector_dedup
+from docwright.llm import ann, bpe_tree, chat, common, jaccard, lm_scoring, packing, quality, queries, substring, url_filter, vector_dedup
 
 DOCS = "doc_id long, text string, row string, score double, n int, removed string, label int"
 VECTORS = "vec_id long, embedding array<float>, label int, key string, count int"
@@ -108,6 +107,35 @@ def test_ann(spark):
     assert [tuple(r) for r in ann.search(few, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 0.5)]
 
 
+@pytest.mark.parametrize("near", [False, True])
+def test_ann_recall(spark, near):
+    """Ten thousand vectors: without structure (codes are scanned) and in tight groups (tables are joined)."""
+    r = np.random.default_rng(3)
+    x = r.standard_normal((10_000, 32))
+    if near:
+        x = np.repeat(x[:200], 50, axis=0) + 0.08 * x
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    x[5000:7000] = x[5000]
+    df = spark.createDataFrame([(i, v.tolist(), 0, "k", 0) for i, v in enumerate(x)], VECTORS)
+    planned = []
+    original = ann._by_tables
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(ann, "_by_tables", lambda *a: (planned.append(original(*a)), planned[-1])[1])
+        got = ann.search(df, F.col("vec_id") % 100 == 0, scan_share=0.2).toPandas()
+    assert (planned[0] is not None) == near
+    x = x.astype(np.float64)
+    found = 0
+    for q, rows in got.groupby("query_id"):
+        score = x @ x[q]
+        score[q] = -np.inf
+        assert np.allclose(rows["score"], score[rows["vec_id"]], atol=1e-12)
+        if 5000 <= q < 7000:
+            same = [i for i in range(5000, 7000) if i != q][:20]
+            assert sorted(rows["vec_id"]) == same
+        found += len(set(np.lexsort((np.arange(len(x)), -np.round(score, 12)))[:20]) & set(rows["vec_id"]))
+    assert got["query_id"].nunique() == 100 and found / 2000 >= 0.9
+
+
 def brute_links(rows):
     x = {i: (np.array(v, dtype=np.float64), l) for i, v, l, *_ in rows if i is not None and good(v) and l is not None}
     links = {i: {j for j in x if j != i and x[i][1] == x[j][1] and x[i][0] @ x[j][0] / np.linalg.norm(x[i][0]) / np.linalg.norm(x[j][0]) >= 0.98} for i in x}
@@ -140,6 +168,21 @@ def test_vector_dedup(spark, most):
     assert vector_dedup.find_links(df.filter("vec_id = 1000")).collect()[0]["kept"]
 
 
+def test_vector_dedup_with_a_common_direction(spark):
+    """Links of vectors that share a strong direction are found as well."""
+    r = np.random.default_rng(7)
+    x = 0.1 * r.standard_normal((2000, 24)) + np.eye(24)[0]
+    x[1000:] = x[:1000] + 0.025 * r.standard_normal((1000, 24))
+    x = x.astype(np.float32)
+    rows = [(i, v.tolist(), 0, "k", 0) for i, v in enumerate(x)]
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    near = u @ u.T >= 0.98
+    np.fill_diagonal(near, False)
+    got = {r["vec_id"]: r["n_links"] for r in vector_dedup.find_links(spark.createDataFrame(rows, VECTORS)).collect()}
+    assert near.sum() >= 1000
+    assert [got[i] for i in range(2000)] == near.sum(axis=1).tolist()
+
+
 def test_bpe(spark):
     path = queries.vocabulary("word_bpe_49k.json")
     tok = bpe_tree.load(path)
@@ -392,6 +435,36 @@ def test_quality(spark, sf):
     assert out["score"].between(0, 1).all()
 
 
+def brute_vote(model, counts):
+    """Score of one text: every labelled vector in turn, the nearest first, then the first in order."""
+    total = max(1.0, float(sum(counts[:-1])))
+    x = np.array([np.log1p(c * 2000.0 / total) * w for c, w in zip(counts.astype(float), model.idf.astype(float), strict=True)])
+    at = np.array([sum(x * axis) for axis in model.basis.T.astype(float)])
+    near = [float(at @ p) / np.linalg.norm(at) for p in model.points.astype(float)]
+    top = sorted(range(len(near)), key=lambda i: (-near[i], i))[: model.k]
+    w = [max(near[i], 1e-6) ** 4 for i in top]
+    return sum(a * model.labels[i] for a, i in zip(w, top, strict=True)) / sum(w)
+
+
+def test_quality_by_brute_force(spark):
+    """Votes over all labelled vectors by plain loops; a labelled text of a megabyte is whole."""
+    texts = [(i, prose(i % 40, 30 + 7 * (i % 5), 60)) for i in range(200)] + [(300, "abc " * 262_144), (301, None), (302, "")]
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 40 < 20), 0) for i, _ in texts], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    for i, t in texts[::3] + texts[-3:]:
+        assert abs(got[i] - brute_vote(model, quality.features(t))) < 1e-3, i
+    big = quality.features("abc " * 262_144)
+    assert big.max() > 500_000 and np.isfinite(big).all()
+
+
+def test_quality_ties_go_to_the_first():
+    x = np.array([[1.0, 2.0, 2.0, 0.0, 2.0, 1.0], [1.0] * 6, [5.0, 4.0, 3.0, 2.0, 1.0, 0.0]])
+    assert quality.first_largest(x, 2).tolist() == [[1, 2], [0, 1], [0, 1]]
+    assert quality.first_largest(x, 4).tolist() == [[0, 1, 2, 4], [0, 1, 2, 3], [0, 1, 2, 3]]
+
+
 def test_quality_edges(spark):
     docs = documents(spark, odd_texts())
     labels = spark.createDataFrame([(i, i % 2, None, "x") for i in range(20, 36)] + [(20, 0, 1, "x"), (None, 1, 0, "x"), (3, None, 0, "x")], "doc_id long, quality int, toxic int, text string")
@@ -443,5 +516,21 @@ def test_native_plans_have_no_python(spark, sf):
         assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
-def test_json_is_plain():
-    assert json.dumps(sorted(queries.QUERIES)).count("op") >= 10
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Spark:
+        conf = {}
+        sparkContext = type("C", (), {"master": "spark://host:7077", "getConf": lambda self: {}})()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Spark())
+
+
+def test_release_frees_tables(spark):
+    import os
+
+    scratch = common.Scratch(spark, "freed")
+    t = scratch.table(spark.range(3), "t")
+    path = t._docwright_path.removeprefix("file://")
+    assert os.path.isdir(path)
+    common.release()
+    assert not os.path.exists(path)
