@@ -1,14 +1,15 @@
 """BPE encoding and decoding by tree concatenation.
 
-Long texts are cut in halves, again and again, down to pieces of at most ``SPLIT`` characters, wherever the middle falls.
-Pieces are rows of their own, so tasks encode them in parallel; then neighbours are joined pair by pair, as a tree. At a
-join the window around the cut is encoded anew and grows until both sides agree exactly:
+Long texts are cut in 2^k pieces of at most ``SPLIT`` characters, wherever the middle falls. Pieces are rows of their own, so
+tasks encode them in parallel; then neighbours are joined, ``FAN`` in a task and level by level, so that only the last join
+holds a whole document. At a join the text around the cut is encoded anew in a window that grows until both sides agree exactly:
 
 * where the text has blanks, the window is the word that the cut went through, up to the blank on either side. The
   vocabulary drops blanks and never merges across them, so both sides agree from there on;
-* inside a long word without blanks (``tree_ids``) the window takes 16, 32, 64... tokens from either side, until two
-  successive tokens on each side are the same, at the same places, as in the window. A token sequence is what BPE gives
-  if every adjacent pair is, so the spliced sequence is exact; if no window agrees, the whole span is encoded.
+* where a run without blanks of more than ``LONG_WORD`` characters meets the cut, both its sides are encoded already, and the
+  window takes 16, 32, 64... tokens from either side, until two successive tokens on each side are the same, at the same
+  places, as in the window. A token sequence is what BPE gives if every adjacent pair is, so the spliced sequence is exact; if
+  no window agrees, the whole run is encoded. A run inside a piece is encoded as a tree of halves in the same way.
 
 A piece's words are encoded once each and remembered (a bounded table); words are independent of each other.
 
@@ -20,13 +21,15 @@ special tokens in a text become those tokens, as in the library. An empty table
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SPLIT, LONG_WORD, LEAF, WORDS_KEPT = 65536, 4096, 4096, 500_000
+SPLIT, LONG_WORD, LEAF, WORDS_KEPT, FAN = 65536, 4096, 4096, 500_000, 32
 OUT = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -78,14 +81,9 @@ def _shared(a_ids, a_off, b_ids, b_off, side: str):
     return None
 
 
-def tree_ids(tok, text: str, leaf: int = LEAF) -> tuple[list, list]:
-    """ids and character offsets of a text, encoded as a tree of halves."""
-    if len(text) <= leaf:
-        return _plain(tok, text)
-    mid = len(text) // 2
-    left_ids, left_off = tree_ids(tok, text[:mid], leaf)
-    right_ids, right_off = tree_ids(tok, text[mid:], leaf)
-    right_off = [(a + mid, b + mid) for a, b in right_off]
+def splice(tok, text: str, mid: int, left: tuple[list, list], right: tuple[list, list]) -> tuple[list, list]:
+    """(ids, offsets) of text from those of its first ``mid`` characters and of the rest, both with offsets in the whole."""
+    (left_ids, left_off), (right_ids, right_off) = left, right
     n = 16
     left_cuts, right_cuts = _cuts(left_off), _cuts(right_off)
     while n < len(left_cuts) and n < len(right_cuts):
@@ -101,6 +99,18 @@ def tree_ids(tok, text: str, leaf: int = LEAF) -> tuple[list, list]:
     return _plain(tok, text)
 
 
+def _moved(encoded: tuple[list, list], by: int) -> tuple[list, list]:
+    return encoded[0], [(a + by, b + by) for a, b in encoded[1]]
+
+
+def tree_ids(tok, text: str, leaf: int = LEAF) -> tuple[list, list]:
+    """ids and character offsets of a text, encoded as a tree of halves."""
+    if len(text) <= leaf:
+        return _plain(tok, text)
+    mid = len(text) // 2
+    return splice(tok, text, mid, tree_ids(tok, text[:mid], leaf), _moved(tree_ids(tok, text[mid:], leaf), mid))
+
+
 class Words:
     """Encodes the blank-separated words of a text; each word gives (ids, decoded text, count), ids and text ending in a space.
 
@@ -159,35 +169,100 @@ def digest(ids: str, decoded: str) -> tuple[str, str]:
     return hashlib.sha256(ids[:-1].encode()).hexdigest(), hashlib.sha256(decoded[:-1].encode()).hexdigest()
 
 
+class Run:
+    """Characters without a blank at an end of a piece; ids and offsets once there are more than ``LONG_WORD``."""
+
+    __slots__ = ("text", "encoded")
+
+    def __init__(self, text: str, encoded: tuple[list, list] | None = None):
+        self.text, self.encoded = text, encoded
+
+    @classmethod
+    def of(cls, words: Words, text: str) -> Run:
+        return cls(text, tree_ids(words.tok, text) if len(text) > LONG_WORD else None)
+
+    def joined(self, words: Words, other: Run) -> Run:
+        if not self.text or not other.text:
+            return self if self.text else other
+        text, mid = self.text + other.text, len(self.text)
+        if len(text) <= LONG_WORD:
+            return Run(text)
+        left, right = (r.encoded or _plain(words.tok, r.text) for r in (self, other))
+        return Run(text, splice(words.tok, text, mid, left, _moved(right, mid)))
+
+    def row(self, words: Words) -> tuple[str, str, int]:
+        return words._row(self.encoded[0]) if self.encoded else words([self.text])
+
+    def packed(self) -> tuple[str, bytes | None]:
+        return self.text, None if self.encoded is None else np.concatenate([self.encoded[0], np.array(self.encoded[1], dtype=np.int64).ravel()]).astype("<i4").tobytes()
+
+    @classmethod
+    def unpacked(cls, text: str, data: bytes | None) -> Run:
+        if data is None:
+            return cls(text)
+        x = np.frombuffer(data, dtype="<i4")
+        n = len(x) // 3
+        return cls(text, (x[:n].tolist(), list(map(tuple, x[n:].reshape(n, 2).tolist()))))
+
+
 def piece(words: Words, text: str) -> tuple:
-    """(head, ids, decoded, n, tail): the whole words of a piece encoded, the words at its ends as text; tail is null if no blank is inside."""
+    """(head, ids, decoded, n, tail): the whole words of a piece encoded, the runs at its ends; tail is None if no blank is inside."""
     w = words_of(text)
-    return (w[0], *words(w[1:-1]), w[-1]) if len(w) > 1 else (w[0], "", "", 0, None)
+    return (Run.of(words, w[0]), *words(w[1:-1]), Run.of(words, w[-1])) if len(w) > 1 else (Run.of(words, w[0]), "", "", 0, None)
 
 
 def join(words: Words, a: tuple, b: tuple) -> tuple:
-    """Joins two neighbours: the word across the cut is encoded anew."""
+    """Joins two neighbours: the run across the cut is made whole."""
     if a[4] is None:
-        return (a[0] + b[0], *b[1:])
+        return (a[0].joined(words, b[0]), *b[1:])
+    across = a[4].joined(words, b[0])
     if b[4] is None:
-        return (*a[:4], a[4] + b[0])
-    ids, decoded, n = words([a[4] + b[0]])
+        return (*a[:4], across)
+    ids, decoded, n = across.row(words)
     return a[0], a[1] + ids + b[1], a[2] + decoded + b[2], a[3] + n + b[3], b[4]
 
 
-def join_all(words: Words, pieces: list) -> tuple[str, str, int]:
+def join_all(words: Words, pieces: list) -> tuple:
+    """One piece from neighbours, pair by pair."""
     while len(pieces) > 1:
         pieces = [join(words, *pieces[i : i + 2]) if i + 1 < len(pieces) else pieces[i] for i in range(0, len(pieces), 2)]
-    head, ids, decoded, n, tail = pieces[0]
-    a, b = words([head]), words([tail]) if tail is not None else ("", "", 0)
+    return pieces[0]
+
+
+def finished(words: Words, one: tuple) -> tuple[str, str, int]:
+    """(ids, decoded, n) of a piece that is a whole text."""
+    head, ids, decoded, n, tail = one
+    a, b = head.row(words), tail.row(words) if tail is not None else ("", "", 0)
     return a[0] + ids + b[0], a[1] + decoded + b[1], a[2] + n + b[2]
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, split: int = SPLIT) -> DataFrame:
+PIECE = "row string, doc_id string, i int, head string, head_ids binary, ids string, decoded string, n long, tail string, tail_ids binary"
+
+
+def _frame(keys: list[tuple], made: list[tuple]) -> pd.DataFrame:
+    rows = [(*k, *head.packed(), ids, decoded, n, *(tail.packed() if tail is not None else (None, None))) for k, (head, ids, decoded, n, tail) in zip(keys, made, strict=True)]
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in PIECE.split(", ")])
+
+
+def _pieces(pdf: pd.DataFrame) -> list[tuple]:
+    none = lambda x: None if x is None or x is pd.NA or isinstance(x, float) else x
+    tails = [None if none(t) is None else Run.unpacked(t, none(d)) for t, d in zip(pdf["tail"], pdf["tail_ids"], strict=True)]
+    return [(Run.unpacked(h, none(d)), ids, decoded, n, tail) for h, d, ids, decoded, n, tail in zip(pdf["head"], pdf["head_ids"], pdf["ids"], pdf["decoded"], pdf["n"], tails, strict=True)]
+
+
+def levels(split: int, fan: int) -> int:
+    """Levels of joins that the longest string of Spark (2^31 bytes) needs."""
+    n, pieces = 1, 2 ** max(0, math.ceil(math.log2(2**31 / split)))
+    while fan**n < pieces:
+        n += 1
+    return n
+
+
+def encode_documents(docs: DataFrame, tokenizer_path: str, split: int = SPLIT, fan: int = FAN) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row's whole text.
 
     Texts of up to ``split`` characters are encoded where they are read, without a shuffle. The pieces of longer ones are
-    dealt over tasks and meet again by document: a group is one document's pieces.
+    dealt over tasks and meet again in groups of ``fan`` neighbours, level by level.
     """
     # Ids go through Python as text, since nulls would turn longs into doubles.
     docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -205,15 +280,18 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, split: int = SPLIT) -
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = words_for(tokenizer_path)
         for pdf in batches:
-            rows = [piece(words, t) for t in pdf["text"]]
-            yield pd.concat([pdf[["row", "doc_id", "i"]].reset_index(drop=True), pd.DataFrame(rows, columns=["head", "ids", "decoded", "n", "tail"])], axis=1)
+            yield _frame(list(zip(pdf["row"], pdf["doc_id"], pdf["i"], strict=True)), [piece(words, t) for t in pdf["text"]])
 
-    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+    def level(pdf: pd.DataFrame) -> pd.DataFrame:
         words = words_for(tokenizer_path)
         pdf = pdf.sort_values("i")
-        tail = [None if pd.isna(t) else t for t in pdf["tail"]]
-        ids, decoded, n = join_all(words, list(zip(pdf["head"], pdf["ids"], pdf["decoded"], pdf["n"], tail, strict=True)))
-        return pd.DataFrame([(pdf["doc_id"].iloc[0], n, *digest(ids, decoded))], columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        return _frame([(pdf["row"].iloc[0], pdf["doc_id"].iloc[0], pdf["i"].iloc[0] // fan)], [join_all(words, _pieces(pdf))])
+
+    def ended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = words_for(tokenizer_path)
+        for pdf in batches:
+            done = [finished(words, p) for p in _pieces(pdf)]
+            yield pd.DataFrame([(i, n, *digest(ids, decoded)) for i, (ids, decoded, n) in zip(pdf["doc_id"], done, strict=True)], columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     short = docs.filter(F.length("text") <= split).mapInPandas(whole, OUT)
     long = docs.filter(F.length("text") > split)
@@ -222,5 +300,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, split: int = SPLIT) -
     cut = lambda i: F.floor(F.length("text").cast("long") * i / F.col("k")).cast("int")
     long = long.withColumn("k", k).withColumn("row", F.expr("uuid()"))
     pieces = long.select("row", "doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.struct(i.alias("i"), F.substring("text", cut(i) + 1, cut(i + 1) - cut(i)).alias("text")))).alias("p")).select("row", "doc_id", "p.i", "p.text")
-    encoded = pieces.repartition("row", "i").mapInPandas(parts, "row string, doc_id string, i int, head string, ids string, decoded string, n long, tail string")
-    return short.union(encoded.groupBy("row").applyInPandas(joined, OUT)).withColumn("doc_id", F.col("doc_id").cast("long"))
+    encoded = pieces.repartition("row", "i").mapInPandas(parts, PIECE)
+    for _ in range(levels(split, fan)):
+        encoded = encoded.groupBy("row", F.floor(F.col("i") / fan)).applyInPandas(level, PIECE)
+    return short.union(encoded.mapInPandas(ended, OUT)).withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -4,13 +4,17 @@ Documents are sets of hashed five-word shingles (lower case, blank-separated wor
 shingle). Documents with one set are one representative with a count. In each of ``runs`` runs a set follows random paths:
 at the root every token is chosen with probability 1 / (threshold * size), by a hash of run and token, and each chosen token
 leads to a child node. Sets that share chosen tokens meet. Nodes of up to ``small`` sets are compared by brute force; only
-the sets of larger ones go on, down to ``DEPTH``: below the root a set is its minwise signature of ``SIGNATURE`` tokens, of
-which each node chooses ``PICKS`` places. Runs are repeated until the chance to miss a pair at the threshold, even one that
-only meets in large nodes, is below ``miss``.
-
-The brute force in a node compares 16-byte sketches of the signature, loosely, and leaves a forest of edges. Its components are
-families; within a family all pairs are compared exactly, by intersections of whole sets. Families are dealt in chunks that
-meet pair by pair, so no family is gathered in one task. Rows leave as counts of links and one edge each, never as pairs.
+the sets of larger ones are split further, down to ``DEPTH``: below the root a node chooses, by a hash of node and token, about
+``CHOICES`` of a set's ``SAMPLE`` tokens with the smallest hashes (all tokens of a smaller set), so that texts need not be read
+again. Runs are repeated until the chance to miss a pair at the threshold, even one that only meets in large nodes, and the
+chance that its sketches differ too much are below ``miss`` together.
+
+The brute force in a node compares sketches of one byte of each of ``SKETCH`` minwise hashes and leaves a forest of edges. In a
+node that is still larger than ``small`` at the last depth every set is compared with the node's first one; those that are
+unlike it are compared with all others in blocks, so near copies cost one comparison each and unlike texts that share a
+passage make no family. Components of the edges are families; within a family all pairs are compared exactly, by intersections of whole sets. Families are
+dealt in chunks that meet pair by pair, so no family is gathered in one task. Rows leave as counts of links and one edge each,
+never as pairs. A row is named by a 64-bit hash of (doc_id, text).
 
 Edge cases: null, empty and blank texts have no set: class of their own, no links. Repeated rows (doc_id, text) count as
 copies. Ids that are equal with different texts are different documents; a class's id is its smallest doc_id, null only if
@@ -33,17 +37,26 @@ from .components import components
 from .vector_dedup import _groups, _reach
 
 WORDS, LEAST, MISS, DEPTH, SMALL, CHUNK_ROWS, CHUNK_TOKENS = 5, 0.8, 5e-5, 3, 4096, 256, 1_000_000
-SIGNATURE, PICKS, SKETCH, SKETCH_LEAST = 32, 3, 16, 6
+SAMPLE, CHOICES, SKETCH, SKETCH_LEAST = 64, 3, 64, 36
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
 def survival(least: float = LEAST, depth: int = DEPTH) -> float:
-    """Chance that a pair at the threshold, one set inside the other, shares a path of the given depth."""
-    return (1 - math.exp(-1)) * (1 - (1 - least) ** PICKS) ** (depth - 1)
+    """Chance that a pair at the threshold, one set inside the other, shares a path of the given depth.
+
+    At the root it expects one common token to be chosen, below it CHOICES, of the larger set's sizes.
+    """
+    return (1 - math.exp(-1)) * (1 - math.exp(-CHOICES)) ** (depth - 1)
+
+
+def sketch_miss(least: float = LEAST) -> float:
+    """Chance that a pair at the threshold agrees in less than SKETCH_LEAST bytes of its sketch."""
+    same = least + (1 - least) / 256
+    return sum(math.comb(SKETCH, i) * same**i * (1 - same) ** (SKETCH - i) for i in range(SKETCH_LEAST))
 
 
 def runs_for(miss: float = MISS, least: float = LEAST) -> int:
-    return math.ceil(math.log(miss) / math.log(1 - survival(least)))
+    return math.ceil(math.log(max(miss - sketch_miss(least), miss / 2)) / math.log(1 - survival(least)))
 
 
 _hashes = WordHashes()
@@ -75,28 +88,33 @@ def chosen(tokens: np.ndarray, runs: int, least: float = LEAST) -> np.ndarray:
     return np.concatenate(found)
 
 
-SEEDS = mix64(np.arange(1001, 1001 + SIGNATURE, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
+SEEDS = mix64(np.arange(1001, 1001 + SKETCH, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 
 
-def signature(tokens: np.ndarray) -> np.ndarray:
-    """SIGNATURE minwise hashes."""
-    return ((tokens >> np.uint64(32)).astype(np.uint32)[None, :] * SEEDS[:, None]).min(axis=1)
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """One byte of each of SKETCH minwise hashes."""
+    least = ((tokens >> np.uint64(32)).astype(np.uint32)[None, :] * SEEDS[:, None]).min(axis=1)
+    return ((least * np.uint32(2654435761)) >> np.uint32(24)).astype(np.uint8)
 
 
-def sketch(sig: np.ndarray) -> np.ndarray:
-    """One byte of each of the first SKETCH values of a signature."""
-    return ((sig[:SKETCH] * np.uint32(2654435761)) >> np.uint32(24)).astype(np.uint8)
+def sampled(tokens: np.ndarray) -> np.ndarray:
+    """The SAMPLE tokens with the smallest hashes (sorted tokens are in the order of their hashes), as their upper halves."""
+    return (tokens[:SAMPLE] >> np.uint64(32)).astype(np.uint32)
 
 
-def picked(nodes: np.ndarray, signatures: np.ndarray) -> np.ndarray:
-    """(n, PICKS) children of each row's node: the node chooses places of the signature, and what stands there leads on."""
+def children(nodes: np.ndarray, samples: list[np.ndarray], least: float = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """(row, child) of each row's node: the node chooses tokens of the row's sample, each with probability CHOICES / (least * size)."""
+    size = np.array([len(x) for x in samples])
+    row = np.repeat(np.arange(len(nodes)), size)
+    bound = np.minimum(CHOICES / (least * size), 1.0)
     with np.errstate(over="ignore"):
-        place = (mix64(nodes[:, None] + np.arange(PICKS, dtype=np.uint64)) % np.uint64(SIGNATURE)).astype(np.int64)
-        value = np.take_along_axis(signatures, place, axis=1).astype(np.uint64)
-        return mix64(mix64(value + (place.astype(np.uint64) << np.uint64(32))) + nodes[:, None])
+        h = mix64(mix64(np.concatenate(samples).astype(np.uint64)) ^ mix64(nodes)[row])
+    taken = (h >> np.uint64(11)).astype(np.float64) * 2.0**-53 < bound[row]
+    return row[taken], mix64(h[taken] + np.uint64(1))
 
 
-SETS = "row long, doc_id string, n int, f1 long, f2 long, s1 long, s2 long, signature binary, nodes array<long>"
+PARTS = [f"s{i}" for i in range(1, SKETCH // 8 + 1)]  # the sketch as longs
+SETS = f"row long, doc_id string, n int, f1 long, f2 long, {', '.join(f'{s} long' for s in PARTS)}, sample binary, nodes array<long>"
 
 
 def sets(docs: DataFrame, runs: int, least: float = LEAST) -> DataFrame:
@@ -111,44 +129,41 @@ def sets(docs: DataFrame, runs: int, least: float = LEAST) -> DataFrame:
             for text in pdf["text"]:
                 t = shingles(text)
                 if not len(t):
-                    rows.append((0, *[None] * 6))
+                    rows.append((0, *[None] * (len(names) - 1)))
                     continue
                 with np.errstate(over="ignore"):
                     f = np.array([mix64(t).sum(), mix64(t ^ ODD[2]).sum()]).view(np.int64)
-                sig = signature(t)
-                s = sketch(sig).view(np.int64)
-                rows.append((len(t), f[0], f[1], s[0], s[1], sig.tobytes(), chosen(t, runs, least).view(np.int64)))
+                rows.append((len(t), f[0], f[1], *sketch(t).view(np.int64), sampled(t).tobytes(), chosen(t, runs, least).view(np.int64)))
             out = pd.DataFrame(rows, columns=names)
             out.insert(0, "row", pdf["row"].to_numpy())
             out.insert(1, "doc_id", pdf["doc_id"].to_numpy())
-            yield out.astype({"f1": "Int64", "f2": "Int64", "s1": "Int64", "s2": "Int64"})
+            yield out.astype(dict.fromkeys(("f1", "f2", *PARTS), "Int64"))
 
     # Ids go through Python as text, since nulls would turn longs into doubles.
     out = docs.select("row", F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(of, SETS)
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def deeper(at: DataFrame, reps: DataFrame) -> DataFrame:
-    """(key, rep, s1, s2) of the children of the nodes in ``at`` (key, rep)."""
+def deeper(at: DataFrame, reps: DataFrame, least: float = LEAST) -> DataFrame:
+    """(key, rep, sketch) of the children of the nodes in ``at`` (key, rep)."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
-            sig = np.frombuffer(b"".join(pdf["signature"]), dtype=np.uint32).reshape(len(pdf), SIGNATURE)
-            keys = picked(pdf["key"].to_numpy().view(np.uint64), sig)
-            out = pdf.loc[pdf.index.repeat(PICKS), ["rep", "s1", "s2"]]
-            out.insert(0, "key", keys.ravel().view(np.int64))
-            yield out.drop_duplicates(["key", "rep"])
+            row, key = children(pdf["key"].to_numpy().view(np.uint64), [np.frombuffer(x, dtype=np.uint32) for x in pdf["sample"]], least)
+            out = pdf[["rep", *PARTS]].iloc[row]
+            out.insert(0, "key", key.view(np.int64))
+            yield out
 
-    return at.join(reps.select("rep", "s1", "s2", "signature"), "rep").select("key", "rep", "s1", "s2", "signature").mapInPandas(of, "key long, rep long, s1 long, s2 long")
+    return at.join(reps.select("rep", *PARTS, "sample"), "rep").select("key", "rep", *PARTS, "sample").mapInPandas(of, f"key long, rep long, {', '.join(f'{s} long' for s in PARTS)}")
 
 
 def _node_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Forest edges among the rows of small nodes whose sketches are close; input sorted by key."""
     for pdf in _groups(batches, ["key"]):
         key, rep = pdf["key"].to_numpy(), pdf["rep"].to_numpy()
-        s = np.ascontiguousarray(pdf[["s1", "s2"]].to_numpy(dtype=np.int64)).view(np.uint8)
+        s = _bytes(pdf, PARTS)
         pairs, at, d = [], np.arange(len(key)), 1
         while len(at):
             at = at[at + d < len(key)]
@@ -156,25 +171,74 @@ def _node_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             close = at[(s[at] == s[at + d]).sum(axis=1) >= SKETCH_LEAST]
             pairs.append(np.stack([close, close + d]))
             d += 1
-        a, b = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), dtype=int)
-        lab = np.arange(len(key))
-        while len(a):
-            low = np.minimum(lab[a], lab[b])
-            new = lab.copy()
-            np.minimum.at(new, a, low)
-            np.minimum.at(new, b, low)
-            new = new[new]
-            if (new == lab).all():
-                break
-            lab = new
-        keep = lab != np.arange(len(key))
-        yield pd.DataFrame({"a": rep[keep], "b": rep[lab[keep]]}).drop_duplicates()
+        yield _forest(rep, *(np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), dtype=int)))
+
+
+def _bytes(pdf: pd.DataFrame, parts: list[str]) -> np.ndarray:
+    return np.ascontiguousarray(pdf[parts].to_numpy(dtype=np.int64)).view(np.uint8)
+
+
+def _forest(rep: np.ndarray, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    """Edges (a, b) to the first row of each component of the pairs of places."""
+    lab = np.arange(len(rep))
+    while len(a):
+        low = np.minimum(lab[a], lab[b])
+        new = lab.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == lab).all():
+            break
+        lab = new
+    keep = rep[lab] != rep
+    return pd.DataFrame({"a": rep[keep], "b": rep[lab[keep]]}).drop_duplicates()
+
+
+def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Adds close: whether a row's sketch is close to that of its node's first row."""
+    for pdf in batches:
+        if len(pdf):
+            close = (_bytes(pdf, PARTS) == _bytes(pdf, [f"l_{p}" for p in PARTS])).sum(axis=1) >= SKETCH_LEAST
+            yield pdf[["key", "rep", "first", *PARTS]].assign(close=close)
+
+
+def _block_edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Forest edges between the asking rows and the others of a block; input sorted by key, block, other."""
+    for pdf in _groups(batches, ["key", "block", "other"]):
+        for _, g in pdf.groupby(["key", "block", "other"], sort=False):
+            s, asks = _bytes(g, PARTS), g["asks"].to_numpy()
+            mine, all_ = np.flatnonzero(asks), np.flatnonzero(~asks)
+            hits = [all_[(s[all_] == s[i]).sum(axis=1) >= SKETCH_LEAST] for i in mine]
+            if hits:
+                yield _forest(g["rep"].to_numpy(), np.repeat(mine, list(map(len, hits))), np.concatenate(hits))
+
+
+def large_node_edges(rows: DataFrame, big: DataFrame, reps: DataFrame, scratch: Scratch, small: int) -> DataFrame:
+    """(a, b) edges of nodes of more than ``small`` sets."""
+    parts = ", ".join(f"{s} long" for s in PARTS)
+    leaders = big.select("key", "first").join(reps.select(F.col("rep").alias("first"), *[F.col(p).alias(f"l_{p}") for p in PARTS]), "first")
+    leaders = scratch.table(leaders, "leaders")
+    # Leaders are one row a node and their number has no bound; a hot node's rows are split by Spark.
+    judged = scratch.table(rows.join(leaders.hint("merge"), "key").mapInPandas(_judged, f"key long, rep long, first long, {parts}, close boolean"), "judged")
+    edges = judged.filter("close and rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
+    half = max(1, small // 2)
+    nodes = judged.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("close")).alias("far")).filter("far > 0")
+    nodes = scratch.table(nodes.select("key", F.ceil(F.col("n") / half).cast("int").alias("others"), F.ceil(F.col("far") / half).cast("int").alias("blocks")), "nodes")
+    if nodes.isEmpty():
+        return edges
+    rows = judged.join(nodes.hint("merge"), "key")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    deal = lambda n: F.pmod(F.xxhash64("rep", "key"), F.col(n)).cast("int")
+    asking = rows.filter(~F.col("close")).select("key", "rep", *PARTS, F.lit(True).alias("asks"), deal("blocks").alias("block"), every("others").alias("other"))
+    asked = rows.select("key", "rep", *PARTS, F.lit(False).alias("asks"), every("blocks").alias("block"), deal("others").alias("other"))
+    met = asking.union(asked).repartition("key", "block", "other").sortWithinPartitions("key", "block", "other")
+    return edges.union(met.mapInPandas(_block_edges, "a long, b long").distinct())
 
 
 def candidate_edges(reps: DataFrame, scratch: Scratch, small: int = SMALL) -> DataFrame:
     """(a, b) edges whose components hold every pair that met in a small node with close sketches."""
     out = None
-    rows = reps.select(F.explode("nodes").alias("key"), "rep", "s1", "s2")
+    rows = reps.select(F.explode("nodes").alias("key"), "rep", *PARTS)
     for depth in range(1, DEPTH + 1):
         if depth > 1:
             rows = scratch.table(deeper(rows.join(big.select("key"), "key").select("key", "rep"), reps), f"rows{depth}")
@@ -182,15 +246,13 @@ def candidate_edges(reps: DataFrame, scratch: Scratch, small: int = SMALL) -> Da
         sizes = scratch.table(sizes, f"sizes{depth}")
         # The number of nodes has no bound, so the join is never a broadcast; what is hot on the left is large and not in it.
         few = rows.join(sizes.filter(F.col("size") <= small).select("key").hint("merge"), "key").repartition("key").sortWithinPartitions("key")
-        edges = few.select("key", "rep", "s1", "s2").mapInPandas(_node_edges, "a long, b long").distinct()
+        edges = few.select("key", "rep", *PARTS).mapInPandas(_node_edges, "a long, b long").distinct()
         edges = scratch.table(edges, f"edges{depth}")
         out = edges if out is None else out.union(edges)
         big = sizes.filter(F.col("size") > small)
         if big.isEmpty():
             return out
-    # Nodes that no depth made small become families as they are: compared exactly, in chunks.
-    rest = rows.join(big.select("key", "first"), "key").select(F.col("rep").alias("a"), F.col("first").alias("b")).filter("a <> b").distinct()
-    return out.union(scratch.table(rest, "rest"))
+    return out.union(scratch.table(large_node_edges(rows, big, reps, scratch, small), "rest"))
 
 
 def exact_links(token_sets: list[np.ndarray], copies: np.ndarray, chunk: np.ndarray, apart: bool, least: float = LEAST) -> tuple[np.ndarray, np.ndarray]:

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docwright.llm import ann, bpe_tree, chat, common, jaccard, lm_scoring, packing, quality, queries, substring, url_filter, vector_dedup
+from docwright.llm.components import components
 
 DOCS = "doc_id long, text string, row string, score double, n int, removed string, label int"
 VECTORS = "vec_id long, embedding array<float>, label int, key string, count int"
@@ -197,6 +198,33 @@ def test_bpe(spark):
     assert bpe_tree.encode_documents(documents(spark, []), path).count() == 0
 
 
+def test_long_unsplit_texts_are_encoded_in_pieces(spark):
+    """Texts without blanks, or with few, over many pieces and more than one level of joins."""
+    path = queries.vocabulary("word_bpe_49k.json")
+    tok = bpe_tree.load(path)
+    r = random.Random(8)
+    part = lambda n: "".join(r.choice(["thequick", "ab", "!'s", "12", "é", "tion", "don't", "ß", "漢", "x" * 9]) for _ in range(n))
+    texts = [(1, part(200_000)), (2, part(9000) + " " + part(3000) + "\n" + part(20_000)), (3, " ".join(part(900) for _ in range(40))), (4, part(30_000) + " "), (5, " " + "a" * 100_000)]
+    got = {x["doc_id"]: x["ids_sha256"] for x in bpe_tree.encode_documents(documents(spark, texts), path, split=8192, fan=8).collect()}
+    for i, t in texts:
+        ids = tok.encode(t, add_special_tokens=False).ids
+        assert got[i] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), i
+
+
+def test_a_join_encodes_a_window_only(monkeypatch):
+    """What is encoded anew at a join does not grow with the sides."""
+    words = bpe_tree.Words(bpe_tree.load(queries.vocabulary("word_bpe_49k.json")))
+    r = random.Random(9)
+    a, b = ("".join(r.choice(["thequick", "ab", "12", "é", "tion"]) for _ in range(20_000)) for _ in range(2))
+    left, right = bpe_tree.piece(words, a), bpe_tree.piece(words, b)
+    sizes = []
+    plain = bpe_tree._plain
+    monkeypatch.setattr(bpe_tree, "_plain", lambda tok, t: (sizes.append(len(t)), plain(tok, t))[1])
+    one = bpe_tree.join(words, left, right)
+    assert sum(sizes) < 1000
+    assert one[0].encoded[0] == words.tok.encode(a + b, add_special_tokens=False).ids
+
+
 def test_tree_of_one_long_word():
     tok = bpe_tree.load(queries.vocabulary("word_bpe_49k.json"))
     r = random.Random(5)
@@ -273,6 +301,39 @@ def test_jaccard(spark, small, monkeypatch):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_a_common_passage_makes_no_large_family(spark):
+    """Texts that are unlike but for one passage that all have: candidates stay few."""
+    words = lexicon(21, 4000)
+    r = random.Random(22)
+    passage = " ".join(r.choice(words) for _ in range(40))
+    texts = [(i, " ".join(r.choice(words) for _ in range(60)) + " " + passage) for i in range(3000)]
+    found = jaccard.sets(documents(spark, texts).select("doc_id", "text", F.col("doc_id").alias("row")), jaccard.runs_for()).withColumnRenamed("row", "rep")
+    scratch = common.Scratch(spark, "families")
+    family = components(jaccard.candidate_edges(scratch.table(found, "reps"), scratch, small=512), scratch)
+    largest = family.groupBy("component").count().agg(F.max("count")).first()[0] or 0
+    assert largest <= 30
+    scratch.close()
+
+
+def test_jaccard_misses_are_within_the_budget():
+    """Pairs at the threshold share a path at least as often as stated; their sketches agree."""
+    r = np.random.default_rng(23)
+    paths = close = 0
+    n = 3000
+    for _ in range(n):
+        both = r.integers(0, 2**63, 200, dtype=np.uint64)
+        a, b = np.unique(both), np.unique(both[:160])
+        nodes = np.intersect1d(jaccard.chosen(a, 1), jaccard.chosen(b, 1))
+        for _ in range(jaccard.DEPTH - 1):
+            nodes = np.concatenate([np.zeros(0, dtype=np.uint64), *[np.intersect1d(*[jaccard.children(np.array([v]), [jaccard.sampled(x)])[1] for x in (a, b)]) for v in nodes]])
+        paths += len(nodes) > 0
+        close += (jaccard.sketch(a) == jaccard.sketch(b)).sum() >= jaccard.SKETCH_LEAST
+    assert paths / n >= jaccard.survival() - 0.03
+    assert close >= n - 1
+    assert jaccard.sketch_miss() < 1e-5
+    assert (1 - jaccard.survival()) ** jaccard.runs_for() + jaccard.sketch_miss() <= jaccard.MISS
+
+
 def test_jaccard_keeps_one_of_each_class(spark):
     texts = near_copies()
     docs = documents(spark, texts)
