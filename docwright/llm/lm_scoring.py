@@ -1,22 +1,26 @@
 """LM scoring with a hashed maximum-entropy model.
 
 A token's probability is P(class | context) * P(slot | class, previous token) * P(token | slot). Classes come from a token's
-last two bytes. A slot is one of the ``HEAD`` commonest training tokens or the rest of a class; inside a rest a token has
-its add-one share, with one share for unknown tokens. P(class | context) is a softmax over hashed features: the previous
-token, the two before hashed together, a skip over the previous one, and a skip over two. It is trained by rounds of
-distributed gradient updates: in a round every task runs adaptive gradient steps over its part of that round's documents from
-the same weights, and the weights become the mean over tasks, each feature weighted by how often a task saw it. P(slot |
-class, previous) is a maximum-entropy model with hashed previous-token features; its gradient needs only counts of
+last two bytes. A slot is one of the commonest training tokens (the head) or a part of the rest of a class, by the token's
+hash; inside a rest a token has its add-one share, with one share for unknown tokens. P(class | context) is a softmax over
+hashed features: the previous token, the two before together, a skip over the previous one, and a skip over two. Features are
+hashes of the tokens' own hashes, so every token takes part as context, whether it is in the head or not. It is trained by
+rounds of distributed gradient updates: in a round every task runs adaptive gradient steps over its part of that round's
+documents from the same weights, and the weights become the mean over tasks, each feature weighted by how often a task saw it.
+P(slot | class, previous) is a maximum-entropy model with hashed previous-token features; its gradient needs only counts of
 (hashed previous token, slot), which are summed over the corpus.
 
-Tokens of about ``BLOCK`` characters of text form a block with a vocabulary of its own; documents become numbers in it.
-Counts are summed by token over the blocks' vocabularies and return to the blocks, so no task and no driver holds the whole
-vocabulary, and a common token has one row for each block. Weights and head are of fixed size and broadcast.
+The model follows the corpus (``sizes_for``): feature tables grow with the training tokens, the head with their root, the parts
+of a rest with the vocabulary, up to documented bounds that keep the broadcast weights within memory.
+
+Tokens of about ``BLOCK`` characters of text form a block with a vocabulary of its own; documents become numbers in it. A token
+is named by its 128-bit hash. Counts are summed by token over the blocks' vocabularies, in partial sums, and return to the
+blocks in a join, so no task and no driver holds the whole vocabulary, and a common token has one row for each block.
 
 Ids go through Python as text, since nulls would turn longs into doubles.
 
 Edge cases: a null text is empty; an empty text is one end token. A null doc_id counts as the empty text in the crc32.
-Repeated rows are documents of their own. Ties for the head go to the smaller token. Extra columns are ignored. With no
+Repeated rows are documents of their own. Ties for the head go to the smaller hash. Extra columns are ignored. With no
 training documents every token is unknown, N is 0 and probabilities are uniform over slots. An empty table gives an empty
 result.
 """
@@ -28,17 +32,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, crc_mod, one_thread
 
-CLASSES, HEAD, PAIRS, SLOT_CONTEXTS, ROUNDS, STEP, FOLDS, HELD_OUT, BLOCK = 32, 2048, 8192, 256, 4, 16384, 7, 2, 16_000_000
-LETTERS = HEAD + CLASSES  # a token's slot; LETTERS itself stands before a text
+CLASSES, KINDS, SLOT_CONTEXTS, ROUNDS, STEP, FOLDS, HELD_OUT, BLOCK = 32, 4, 256, 4, 16384, 7, 2, 16_000_000
+#: Bounds of the model's sizes: features of a kind, head, parts of a rest.
+FEATURES, HEAD, PARTS = (2**13, 2**17), (2048, 8192), (4, 32)
 END = b""
 RATE, SLICE = 0.25, 50_000
 
 
+class Sizes:
+    """Features of a kind, head, parts of each class's rest; all powers of two."""
+
+    def __init__(self, features: int, head: int, parts: int):
+        self.features, self.head, self.parts = features, head, parts
+
+    @property
+    def letters(self) -> int:
+        """Number of slots."""
+        return self.head + CLASSES * self.parts
+
+
+def sizes_for(n_tokens: int, n_distinct: int) -> Sizes:
+    """Sizes for a training corpus: a feature for 2048 tokens, a head of half the root of the tokens, a part for 2^16 distinct ones."""
+    power = lambda x, bounds: min(max(1 << max(0, int(x).bit_length() - 1), bounds[0]), bounds[1])
+    return Sizes(power(n_tokens // 2048, FEATURES), power(n_tokens**0.5 / 2, HEAD), power(n_distinct // 2**16, PARTS))
+
+
 def tokens(text: str | None) -> list[bytes]:
     """A-Z in lower case, cut at ASCII blanks, then the end."""
     out = (text or "").encode().lower().split()
@@ -53,25 +76,27 @@ def class_of(words: list[bytes]) -> np.ndarray:
     return np.where(two == 0, CLASSES - 1, h % np.uint32(CLASSES - 1)).astype(np.int32)
 
 
-def contexts(slots: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Hashed feature numbers of each position: previous, two previous, skip of one, skip of two. begin: places where texts begin."""
-    n = len(slots)
+def contexts(hashes: np.ndarray, begin: np.ndarray, features: int) -> tuple[np.ndarray, ...]:
+    """Feature numbers of each position: previous, two previous, skip of one, skip of two. begin: places where texts begin."""
+    n = len(hashes)
     place = np.arange(n) - np.repeat(begin, np.diff([*begin, n]))
-    back = [np.where(place >= k, np.concatenate([np.zeros(min(k, n), dtype=slots.dtype), slots[: max(0, n - k)]]), LETTERS) for k in (1, 2, 3)]
-    a, b, c = (x.astype(np.int64) for x in back)
-    return tuple(x.astype(np.uint16) for x in (a, ((a * 40503 + b * 9973) >> 3) % PAIRS, b, c))  # sixteen bits sort fastest
-
-
-SIZES = (LETTERS + 1, PAIRS, LETTERS + 1, LETTERS + 1)
+    # Zero stands before a text.
+    back = [np.where(place >= k, np.concatenate([np.zeros(min(k, n), dtype=np.uint32), hashes[: max(0, n - k)]]), np.uint32(0)) for k in (1, 2, 3)]
+    a, b, c = back
+    shift = np.uint32(33 - features.bit_length())
+    with np.errstate(over="ignore"):
+        mixed = (a * np.uint32(2654435761), (a * np.uint32(2246822519) ^ (b * np.uint32(3266489917) + np.uint32(374761393))) * np.uint32(668265263), b * np.uint32(2654435761), c * np.uint32(2654435761))
+    kind = np.uint16 if features <= 2**16 else np.uint32  # sixteen bits sort fastest
+    return tuple((x >> shift).astype(kind) for x in mixed)
 
 
 class Weights:
     """Of the class model: one table for each kind of feature, and a bias."""
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, counts: np.ndarray, features: int):
         p = (counts + 1.0) / (counts.sum() + len(counts))
         self.bias = np.log(p).astype(np.float32)
-        self.tables = [np.zeros((n, CLASSES), dtype=np.float32) for n in SIZES]
+        self.tables = [np.zeros((features, CLASSES), dtype=np.float32) for _ in range(KINDS)]
 
     def log_p(self, features: tuple) -> np.ndarray:
         z = self.tables[0].take(features[0], axis=0)
@@ -98,12 +123,22 @@ class Weights:
             t[rows] = np.clip(t[rows] - rate * total / np.sqrt(s[rows] + 1e-2), -15, 15)
 
 
-def slot_classes(head: list[bytes]) -> np.ndarray:
-    return np.concatenate([class_of(head) if head else np.zeros(0, dtype=np.int32), np.full(HEAD - len(head), -1, dtype=np.int32), np.arange(CLASSES, dtype=np.int32)])
+def slot_classes(head: list[int], sizes: Sizes) -> np.ndarray:
+    """Class of each slot, from those of the head's tokens; -1 for places of the head that are not taken."""
+    return np.concatenate([np.array(head, dtype=np.int32), np.full(sizes.head - len(head), -1, dtype=np.int32), np.repeat(np.arange(CLASSES, dtype=np.int32), sizes.parts)])
 
 
 def slot_context(previous: np.ndarray) -> np.ndarray:
-    return (previous.astype(np.int64) * 2654435761 >> 7) % SLOT_CONTEXTS
+    """Of the hash of the token before."""
+    with np.errstate(over="ignore"):
+        return ((previous * np.uint32(2654435761)) >> np.uint32(24)).astype(np.int64) % SLOT_CONTEXTS
+
+
+def before(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Hash of the token before each position, zero where a text begins."""
+    out = np.concatenate([np.zeros(1, dtype=np.uint32), hashes[:-1]])
+    out[begin] = 0
+    return out
 
 
 def fit_slots(counts: np.ndarray, classes: np.ndarray, rounds: int = 40) -> np.ndarray:
@@ -134,10 +169,14 @@ def fit_slots(counts: np.ndarray, classes: np.ndarray, rounds: int = 40) -> np.n
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """Documents as numbers in a block's vocabulary, and the vocabularies: block, word, number, n | block, doc_id, held_out, ids."""
-    schema = "block long, word binary, number int, n long, doc_id string, held_out boolean, ids binary"
+    """Documents as numbers in a block's vocabulary, and the vocabularies: block, h1, h2, class, number, n | block, doc_id, held_out, ids."""
+    schema = "block long, h1 long, h2 long, class int, number int, n long, doc_id string, held_out boolean, ids binary"
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        digest = xxhash.xxh3_128_digest
+
         def written():
             """The block's rows, some at a time: numbers are renewed in the order of counts, so common tokens have small ones."""
             block = int.from_bytes(os.urandom(8), "little") >> 1
@@ -151,12 +190,14 @@ def _blocks(docs: DataFrame) -> DataFrame:
             rank[order] = np.arange(len(words))
             del flat, held, all_n, order
             for i in range(0, len(words), SLICE):
-                n = len(words[i : i + SLICE])
-                yield pd.DataFrame({"block": block, "word": words[i : i + n], "number": rank[i : i + n], "n": train[i : i + n], "doc_id": None, "held_out": pd.array([pd.NA] * n, dtype="boolean"), "ids": None})
+                some = words[i : i + SLICE]
+                n = len(some)
+                h = np.frombuffer(b"".join(map(digest, some)), dtype="<i8").reshape(n, 2)
+                yield pd.DataFrame({"block": block, "h1": h[:, 0], "h2": h[:, 1], "class": class_of(some), "number": rank[i : i + n], "n": train[i : i + n], "doc_id": None, "held_out": pd.array([pd.NA] * n, dtype="boolean"), "ids": None})
             for i in range(0, len(rows), 1000):
                 some = rows[i : i + 1000]
                 none = pd.array([pd.NA] * len(some), dtype="Int64")
-                yield pd.DataFrame({"block": block, "word": None, "number": none, "n": none, "doc_id": [r[0] for r in some], "held_out": pd.array([r[1] for r in some], dtype="boolean"), "ids": [rank[r[2]].astype("<i4").tobytes() for r in some]})
+                yield pd.DataFrame({"block": block, "h1": none, "h2": none, "class": none, "number": none, "n": none, "doc_id": [r[0] for r in some], "held_out": pd.array([r[1] for r in some], dtype="boolean"), "ids": [rank[r[2]].astype("<i4").tobytes() for r in some]})
 
         vocabulary: dict = {}
         rows, size = [], 0
@@ -176,54 +217,59 @@ def _blocks(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", (crc_mod(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out")).mapInPandas(number, schema)
 
 
-def score(docs: DataFrame, head_size: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     blocks = scratch.table(_blocks(docs), "blocks")
-    by = Window.partitionBy("word")
-    words = blocks.filter("word is not null").select("block", "number", "word", F.sum("n").over(by).alias("c"), (F.row_number().over(by.orderBy("block")) == 1).alias("lead"))
-    words = scratch.table(words, "words")
-    lead = words.filter("lead and c > 0")
-    head = [bytes(r["word"]) for r in lead.orderBy(F.desc("c"), "word").limit(head_size).collect()]  # a fixed number
-    slots_of_head = {w: i for i, w in enumerate(head)}
-    sent_head = spark.sparkContext.broadcast(slots_of_head)
-
-    def slotted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at = sent_head.value
-        for pdf in batches:
-            w = [bytes(x) for x in pdf["word"]]
-            own = np.array([at.get(x, -1) for x in w], dtype=np.int32)
-            yield pd.DataFrame({"block": pdf["block"], "number": pdf["number"], "c": pdf["c"], "lead": pdf["lead"], "slot": np.where(own >= 0, own, HEAD + class_of(w))})
-
-    known = scratch.table(words.mapInPandas(slotted, "block long, number int, c long, lead boolean, slot int"), "slots")
-    scratch.drop(words)
-    rest = known.filter("lead and c > 0").groupBy("slot").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()  # one row a slot
-    slot_n, slot_v = np.zeros(LETTERS, dtype=np.int64), np.zeros(LETTERS, dtype=np.int64)
-    for r in rest:
+    words = blocks.filter("h1 is not null").select("block", "number", "h1", "h2", "class", "n")
+    counts = scratch.table(words.groupBy("h1", "h2").agg(F.sum("n").alias("c"), F.min("class").alias("class")), "counts")
+    seen = counts.filter("c > 0")
+    total, distinct = (int(x or 0) for x in seen.agg(F.sum("c"), F.count(F.lit(1))).first())
+    sizes = sizes_for(total, distinct)
+    head = seen.orderBy(F.desc("c"), "h1", "h2").limit(sizes.head).collect()  # a bounded number
+    head_h1, head_h2 = (np.array([r[k] for r in head], dtype=np.int64) for k in ("h1", "h2"))
+    in_order = np.argsort(head_h1, kind="stable")
+    classes = slot_classes([r["class"] for r in head], sizes)
+    part = F.pmod("h2", F.lit(sizes.parts))
+    slot_n, slot_v = np.zeros(sizes.letters, dtype=np.int64), np.zeros(sizes.letters, dtype=np.int64)
+    for r in seen.groupBy((sizes.head + F.col("class") * sizes.parts + part).alias("slot")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():  # one row a slot
         slot_n[r["slot"]], slot_v[r["slot"]] = r["c"], r["v"]
-    total, distinct = int(slot_n.sum()), int(slot_v.sum())
-    classes = slot_classes(head)
+    for i, r in enumerate(head):
+        own = sizes.head + r["class"] * sizes.parts + r["h2"] % sizes.parts
+        slot_n[own], slot_v[own], slot_n[i], slot_v[i] = slot_n[own] - r["c"], slot_v[own] - 1, r["c"], 1
+    sent_head = spark.sparkContext.broadcast((head_h1[in_order], head_h2[in_order], in_order))
+
+    def slots_of(h1: np.ndarray, h2: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        first, second, place = sent_head.value
+        out = sizes.head + kind * sizes.parts + h2 % sizes.parts
+        if len(first):
+            at = np.minimum(np.searchsorted(first, h1), len(first) - 1)
+            out = np.where((first[at] == h1) & (second[at] == h2), place[at], out)
+        return out.astype(np.int16)
 
     def coded(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        c, slot = np.zeros(len(left), dtype=np.int64), np.zeros(len(left), dtype=np.int16)
-        c[left["number"].to_numpy()], slot[left["number"].to_numpy()] = left["c"].to_numpy(), left["slot"].to_numpy()
+        at = left["number"].to_numpy()
+        c, slot, h = np.zeros(len(left), dtype=np.int64), np.zeros(len(left), dtype=np.int16), np.zeros(len(left), dtype=np.uint32)
+        c[at], slot[at] = left["c"].to_numpy(), slots_of(left["h1"].to_numpy(), left["h2"].to_numpy(), left["class"].to_numpy())
+        h[at] = left["h1"].to_numpy().astype(np.uint32) | np.uint32(1)
         base = np.log10((c + 1) / (total + distinct + 1))
-        inside = np.where(slot >= HEAD, np.log10((c + 1) / (slot_n + slot_v + 1)[slot]), 0.0)
+        inside = np.where(slot >= sizes.head, np.log10((c + 1) / (slot_n + slot_v + 1)[slot]), 0.0)
         rows = []
         for ids in right["ids"]:
             ids = np.frombuffer(ids, dtype="<i4")
-            rows.append((len(ids), int((c[ids] > 0).sum()), base[ids].sum(), inside[ids].sum(), slot[ids].tobytes()))
-        out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score", "inside", "slots"])
+            rows.append((len(ids), int((c[ids] > 0).sum()), base[ids].sum(), inside[ids].sum(), slot[ids].tobytes(), h[ids].tobytes()))
+        out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score", "inside", "slots", "hashes"])
         out.insert(0, "doc_id", right["doc_id"].to_numpy())
         out.insert(1, "held_out", right["held_out"].to_numpy())
         return out.astype({"held_out": "bool"})
 
-    coded_schema = "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, inside double, slots binary"
-    texts = blocks.filter("ids is not null").select("block", "doc_id", "held_out", "ids")
-    data = scratch.table(known.select("block", "number", "c", "slot").groupBy("block").cogroup(texts.groupBy("block")).applyInPandas(coded, coded_schema), "coded")
-    scratch.drop(blocks, known)
-    weights, log_slots = train(data, slot_n, classes, rounds)
+    coded_schema = "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, inside double, slots binary, hashes binary"
+    texts = blocks.filter("ids is not null").select(F.col("block").alias("text_block"), "doc_id", "held_out", "ids")
+    known = words.join(counts.select("h1", "h2", "c").hint("merge"), ["h1", "h2"]).select("block", "number", "h1", "h2", "class", "c")
+    data = scratch.table(known.groupBy("block").cogroup(texts.groupBy("text_block")).applyInPandas(coded, coded_schema), "coded")
+    scratch.drop(blocks, counts)
+    weights, log_slots = train(data, slot_n, classes, sizes, rounds)
     sent = spark.sparkContext.broadcast((weights, (log_slots / np.log(10)).astype(np.float32)))
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -232,14 +278,13 @@ def score(docs: DataFrame, head_size: int = HEAD, rounds: int = ROUNDS) -> DataF
         for pdf in batches:
             parts = []
             for a in range(0, len(pdf), 256):
-                some = [np.frombuffer(s, dtype=np.int16) for s in pdf["slots"].iloc[a : a + 256]]
-                flat, begin = np.concatenate(some), np.cumsum([0, *map(len, some)])[:-1]
+                flat, h, begin = _texts(pdf["slots"].iloc[a : a + 256], pdf["hashes"].iloc[a : a + 256])
                 p = np.empty(len(flat))
-                f = contexts(flat, begin)
+                f, context = contexts(h, begin, sizes.features), slot_context(before(h, begin))
                 for i in range(0, len(flat), STEP):
                     own = tuple(x[i : i + STEP] for x in f)
                     s = flat[i : i + STEP]
-                    p[i : i + STEP] = weights.log_p(own)[np.arange(len(s)), classes[s]] / np.log(10) + slot_p[slot_context(own[0]), s]
+                    p[i : i + STEP] = weights.log_p(own)[np.arange(len(s)), classes[s]] / np.log(10) + slot_p[context[i : i + STEP], s]
                 parts.append(np.add.reduceat(p, begin))
             out = pdf[["doc_id", "held_out", "n_tokens", "n_known", "base_score"]].copy()
             out["train_tokens"] = total
@@ -250,43 +295,46 @@ def score(docs: DataFrame, head_size: int = HEAD, rounds: int = ROUNDS) -> DataF
     return data.mapInPandas(scored, out).select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-def train(data: DataFrame, slot_n: np.ndarray, classes: np.ndarray, rounds: int = ROUNDS) -> tuple[Weights, np.ndarray]:
+def _texts(slots, hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slots and hashes of several texts in a row, and where each begins."""
+    some = [np.frombuffer(s, dtype=np.int16) for s in slots]
+    return np.concatenate(some), np.frombuffer(b"".join(hashes), dtype=np.uint32), np.cumsum([0, *map(len, some)])[:-1]
+
+
+def train(data: DataFrame, slot_n: np.ndarray, classes: np.ndarray, sizes: Sizes, rounds: int = ROUNDS) -> tuple[Weights, np.ndarray]:
     """The class model's weights and log P(slot | class, context) from the rows of data that are not held out."""
     spark = data.sparkSession
-    learning = data.filter("not held_out").select("slots", F.pmod(F.xxhash64("doc_id"), F.lit(rounds)).cast("int").alias("round"))
+    learning = data.filter("not held_out").select("slots", "hashes", F.pmod(F.xxhash64("doc_id"), F.lit(rounds)).cast("int").alias("round"))
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = np.zeros(SLOT_CONTEXTS * LETTERS, dtype=np.int64)
+        n = np.zeros(SLOT_CONTEXTS * sizes.letters, dtype=np.int64)
         for pdf in batches:
             for a in range(0, len(pdf), 1024):
-                some = [np.frombuffer(s, dtype=np.int16) for s in pdf["slots"].iloc[a : a + 1024]]
-                flat, begin = np.concatenate(some), np.cumsum([0, *map(len, some)])[:-1]
-                before = np.concatenate([[LETTERS], flat[:-1]])
-                before[begin] = LETTERS
-                n += np.bincount(slot_context(before) * LETTERS + flat, minlength=len(n))
+                flat, h, begin = _texts(pdf["slots"].iloc[a : a + 1024], pdf["hashes"].iloc[a : a + 1024])
+                n += np.bincount(slot_context(before(h, begin)) * sizes.letters + flat, minlength=len(n))
         at = np.flatnonzero(n)
         yield pd.DataFrame({"cell": at, "n": n[at]})
 
-    counts = np.zeros(SLOT_CONTEXTS * LETTERS)
-    summed = learning.select("slots").mapInPandas(cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # a fixed number of cells
+    counts = np.zeros(SLOT_CONTEXTS * sizes.letters)
+    summed = learning.select("slots", "hashes").mapInPandas(cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # a bounded number of cells
     counts[summed["cell"].to_numpy(dtype=np.int64)] = summed["n"].to_numpy()
-    log_slots = fit_slots(counts.reshape(SLOT_CONTEXTS, LETTERS), classes)
+    log_slots = fit_slots(counts.reshape(SLOT_CONTEXTS, sizes.letters), classes)
     by_class = np.bincount(classes[classes >= 0], weights=slot_n[classes >= 0], minlength=CLASSES)
-    weights = Weights(by_class)
+    weights = Weights(by_class, sizes.features)
     for k in range(rounds):
         sent = spark.sparkContext.broadcast(weights)
 
         def updates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             one_thread()
-            own = Weights(by_class)
+            own = Weights(by_class, sizes.features)
             own.tables = [t.copy() for t in sent.value.tables]
             squares = [np.zeros_like(t) for t in own.tables]
-            seen = [np.zeros(n, dtype=np.float64) for n in SIZES]
+            seen = [np.zeros(sizes.features, dtype=np.float64) for _ in range(KINDS)]
             some, size = [], 0
 
             def step() -> None:
-                flat, begin = np.concatenate(some), np.cumsum([0, *map(len, some)])[:-1]
-                f, target = contexts(flat, begin), classes[flat]
+                flat, h, begin = _texts(*zip(*some, strict=True))
+                f, target = contexts(h, begin, sizes.features), classes[flat]
                 for i in range(0, len(flat), STEP):
                     part = tuple(x[i : i + STEP] for x in f)
                     own.learn(part, target[i : i + STEP], squares)
@@ -294,27 +342,27 @@ def train(data: DataFrame, slot_n: np.ndarray, classes: np.ndarray, rounds: int
                     n += np.bincount(x, minlength=len(n))
 
             for pdf in batches:
-                for s in pdf["slots"]:
-                    some.append(np.frombuffer(s, dtype=np.int16))
-                    size += len(some[-1])
+                for s in zip(pdf["slots"], pdf["hashes"], strict=True):
+                    some.append(s)
+                    size += len(s[0]) // 2
                     if size >= 8 * STEP:
                         step()
                         some, size = [], 0
             if some:
                 step()
-            base = np.cumsum([0, *SIZES])
+            base = np.arange(KINDS + 1) * sizes.features
             for b, t, old, n in zip(base, own.tables, sent.value.tables, seen, strict=False):
                 at = np.flatnonzero(n)
                 if not len(at):
                     continue
-                yield pd.DataFrame({"feature": at + b, "n": n[at], "change": list(((t - old)[at] * n[at, None]).astype(np.float64))})
-
-        part = learning.filter(F.col("round") == k).mapInPandas(updates, "feature long, n double, change array<double>")
-        sums = [F.sum(F.get("change", F.lit(c))).alias(f"c{c}") for c in range(CLASSES)]
-        got = part.groupBy("feature").agg(F.sum("n").alias("n"), *sums).toPandas()  # at most one row a feature
-        change = got[[f"c{c}" for c in range(CLASSES)]].to_numpy() / got["n"].to_numpy()[:, None]
-        base = np.cumsum([0, *SIZES])
-        new = Weights(by_class)
+                yield pd.DataFrame({"feature": at + b, "n": n[at], "change": list((t[at] - old[at]) * n[at, None].astype(np.float32))})
+
+        part = learning.filter(F.col("round") == k).mapInPandas(updates, "feature long, n double, change array<float>")
+        sums = [(F.sum(F.get("change", F.lit(c))) / F.sum("n")).cast("float").alias(f"c{c}") for c in range(CLASSES)]
+        got = part.groupBy("feature").agg(*sums).toPandas()  # at most one row a feature
+        change = got[[f"c{c}" for c in range(CLASSES)]].to_numpy()
+        base = np.arange(KINDS + 1) * sizes.features
+        new = Weights(by_class, sizes.features)
         new.tables = [t.copy() for t in weights.tables]
         feature = got["feature"].to_numpy(dtype=np.int64)
         for i, t in enumerate(new.tables):

@@ -56,19 +56,62 @@ def test_lm_scoring(spark):
     assert all(np.isfinite(x[6]) and x[6] < 0 for x in got)
 
 
+def test_lm_score_by_brute_force(spark, monkeypatch):
+    """Each token's three factors one by one, from the trained weights and counts of the corpus."""
+    import xxhash
+
+    texts = [(None, None), (1, ""), (2, "one"), *[(10 + i, prose(i % 9, 40)) for i in range(40)]]
+    sizes = lm_scoring.Sizes(2**13, 64, 4)
+    monkeypatch.setattr(lm_scoring, "sizes_for", lambda n, v: sizes)
+    kept, original = [], lm_scoring.train
+    monkeypatch.setattr(lm_scoring, "train", lambda *a: (kept.append(original(*a)), kept[0])[1])
+    got = sorted(((r["doc_id"], r["score"]) for r in lm_scoring.score(documents(spark, texts)).collect()), key=repr)
+    weights, log_slots = kept[0]
+    counts = Counter()
+    for i, t in texts:
+        if zlib.crc32(str("" if i is None else i).encode()) % 7 != 2:
+            counts.update(lm_scoring.tokens(t))
+    hashed = lambda w: tuple(int.from_bytes(xxhash.xxh3_128_digest(w)[k : k + 8], "little", signed=True) for k in (0, 8))
+    head = sorted(counts, key=lambda w: (-counts[w], *hashed(w)))[:64]
+    kind = lambda w: int(lm_scoring.class_of([w])[0])
+    slot = lambda w: head.index(w) if w in head else 64 + kind(w) * 4 + hashed(w)[1] % 4
+    rest = [w for w in counts if w not in head]
+    want = []
+    for i, t in texts:
+        total, h = 0.0, [np.uint32(hashed(w)[0] & 0xFFFFFFFF | 1) for w in lm_scoring.tokens(t)]
+        features = lm_scoring.contexts(np.array(h), np.array([0]), sizes.features)
+        for k, w in enumerate(lm_scoring.tokens(t)):
+            z = weights.bias.astype(float) + sum(table[f[k]] for table, f in zip(weights.tables, features, strict=True))
+            total += (z[kind(w)] - np.log(np.exp(z).sum())) / np.log(10)
+            previous = lm_scoring.slot_context(np.array([h[k - 1] if k else 0], dtype=np.uint32))[0]
+            total += log_slots[previous, slot(w)] / np.log(10)
+            if w not in head:
+                same = [x for x in rest if slot(x) == slot(w)]
+                total += np.log10((counts[w] + 1) / (sum(counts[x] for x in same) + len(same) + 1))
+        want.append((i, total))
+    for (i, x), (j, y) in zip(got, sorted(want, key=repr), strict=True):
+        assert i == j and abs(x - y) < 1e-3 * max(1, abs(y))
+
+
 def test_lm_probabilities_sum_to_one():
     r = np.random.default_rng(0)
-    w = lm_scoring.Weights(r.integers(0, 50, lm_scoring.CLASSES).astype(float))
+    sizes = lm_scoring.Sizes(2**13, 64, 4)
+    w = lm_scoring.Weights(r.integers(0, 50, lm_scoring.CLASSES).astype(float), sizes.features)
     w.tables = [r.standard_normal(t.shape).astype(np.float32) for t in w.tables]
-    f = tuple(r.integers(0, n, 10) for n in lm_scoring.SIZES)
+    f = tuple(r.integers(0, sizes.features, 10) for _ in range(lm_scoring.KINDS))
     assert np.allclose(np.exp(w.log_p(f)).sum(axis=1), 1, atol=1e-5)
-    head = [b"the", b"of", b"and"]
-    classes = lm_scoring.slot_classes(head)
-    p = np.exp(lm_scoring.fit_slots(r.integers(0, 9, (lm_scoring.SLOT_CONTEXTS, lm_scoring.LETTERS)).astype(float), classes))
+    classes = lm_scoring.slot_classes([3, 7, 3], sizes)
+    p = np.exp(lm_scoring.fit_slots(r.integers(0, 9, (lm_scoring.SLOT_CONTEXTS, sizes.letters)).astype(float), classes))
     for c in range(lm_scoring.CLASSES):
         assert np.allclose(p[:, classes == c].sum(axis=1), 1)
 
 
+def test_lm_model_follows_the_corpus():
+    small, large = lm_scoring.sizes_for(10**7, 10**5), lm_scoring.sizes_for(10**9, 10**7)
+    assert large.features > small.features and large.head > small.head and large.parts > small.parts
+    assert large.letters < 2**15
+
+
 def test_lm_empty(spark):
     assert lm_scoring.score(documents(spark, [])).count() == 0
 
