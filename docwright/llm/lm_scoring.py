@@ -3,8 +3,8 @@
 A token's probability is P(class | context) * P(slot | class, previous token) * P(token | slot). Classes come from a token's
 last two bytes. A slot is one of the commonest training tokens (the head) or a part of the rest of a class, by the token's
 hash; inside a rest a token has its add-one share, with one share for unknown tokens. P(class | context) is a softmax over
-hashed features: the previous token, the two before together, a skip over the previous one, and a skip over two. Features are
-hashes of the tokens' own hashes, so every token takes part as context, whether it is in the head or not. It is trained by
+hashed features: the previous token, the two before together, and a skip over the previous one. Features are hashes of the
+tokens' own hashes, so every token takes part as context, whether it is in the head or not. It is trained by
 rounds of distributed gradient updates: in a round every task runs adaptive gradient steps over its part of that round's
 documents from the same weights, and the weights become the mean over tasks, each feature weighted by how often a task saw it.
 P(slot | class, previous) is a maximum-entropy model with hashed previous-token features; its gradient needs only counts of
@@ -14,8 +14,8 @@ The model follows the corpus (``sizes_for``): feature tables grow with the train
 of a rest with the vocabulary, up to documented bounds that keep the broadcast weights within memory.
 
 Tokens of about ``BLOCK`` characters of text form a block with a vocabulary of its own; documents become numbers in it. A token
-is named by its 128-bit hash. Counts are summed by token over the blocks' vocabularies, in partial sums, and return to the
-blocks in a join, so no task and no driver holds the whole vocabulary, and a common token has one row for each block.
+is named by its 64-bit hash. Counts are summed by token over the blocks' vocabularies and return to the blocks, so no task and
+no driver holds the whole vocabulary, and the commonest token has one row for each block.
 
 Ids go through Python as text, since nulls would turn longs into doubles.
 
@@ -32,14 +32,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, crc_mod, one_thread
 
-CLASSES, KINDS, SLOT_CONTEXTS, ROUNDS, STEP, FOLDS, HELD_OUT, BLOCK = 32, 4, 256, 4, 16384, 7, 2, 16_000_000
+CLASSES, KINDS, SLOT_CONTEXTS, ROUNDS, STEP, FOLDS, HELD_OUT, BLOCK = 32, 3, 256, 4, 32768, 7, 2, 16_000_000
 #: Bounds of the model's sizes: features of a kind, head, parts of a rest.
-FEATURES, HEAD, PARTS = (2**13, 2**17), (2048, 8192), (4, 32)
+FEATURES, HEAD, PARTS = (2**13, 2**16), (2048, 8192), (4, 32)
 END = b""
 RATE, SLICE = 0.25, 50_000
 
@@ -77,17 +77,16 @@ def class_of(words: list[bytes]) -> np.ndarray:
 
 
 def contexts(hashes: np.ndarray, begin: np.ndarray, features: int) -> tuple[np.ndarray, ...]:
-    """Feature numbers of each position: previous, two previous, skip of one, skip of two. begin: places where texts begin."""
+    """Feature numbers of each position: previous, two previous, skip of one. hashes: sixteen bits each; begin: places where texts begin."""
     n = len(hashes)
     place = np.arange(n) - np.repeat(begin, np.diff([*begin, n]))
     # Zero stands before a text.
-    back = [np.where(place >= k, np.concatenate([np.zeros(min(k, n), dtype=np.uint32), hashes[: max(0, n - k)]]), np.uint32(0)) for k in (1, 2, 3)]
-    a, b, c = back
+    a, b = (np.where(place >= k, np.concatenate([np.zeros(min(k, n), dtype=np.uint32), hashes[: max(0, n - k)]]), np.uint32(0)) for k in (1, 2))
     shift = np.uint32(33 - features.bit_length())
     with np.errstate(over="ignore"):
-        mixed = (a * np.uint32(2654435761), (a * np.uint32(2246822519) ^ (b * np.uint32(3266489917) + np.uint32(374761393))) * np.uint32(668265263), b * np.uint32(2654435761), c * np.uint32(2654435761))
-    kind = np.uint16 if features <= 2**16 else np.uint32  # sixteen bits sort fastest
-    return tuple((x >> shift).astype(kind) for x in mixed)
+        one, skip = a * np.uint32(2654435769), b * np.uint32(2654435769)
+        both = (one ^ (skip >> np.uint32(7)) ^ (b << np.uint32(16))) * np.uint32(2246822519)
+    return tuple((x >> shift).astype(np.uint16) for x in (one, both, skip))  # sixteen bits sort fastest
 
 
 class Weights:
@@ -98,19 +97,30 @@ class Weights:
         self.bias = np.log(p).astype(np.float32)
         self.tables = [np.zeros((features, CLASSES), dtype=np.float32) for _ in range(KINDS)]
 
-    def log_p(self, features: tuple) -> np.ndarray:
+    def _scores(self, features: tuple) -> np.ndarray:
         z = self.tables[0].take(features[0], axis=0)
         z += self.bias
         for t, f in zip(self.tables[1:], features[1:], strict=True):
             z += t.take(f, axis=0)
+        return z
+
+    def log_p(self, features: tuple) -> np.ndarray:
+        z = self._scores(features)
         # Weights are bounded, so the exponentials are finite without taking the largest out.
         z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
         return z
 
+    def log_p_of(self, features: tuple, target: np.ndarray) -> np.ndarray:
+        """log P of one class at each position."""
+        z = self._scores(features)
+        own = z[np.arange(len(target)), target]
+        return own - np.log(np.exp(z, out=z).sum(axis=1))
+
     def learn(self, features: tuple, target: np.ndarray, squares: list, rate: float = RATE) -> None:
         """One adaptive gradient step over a batch."""
-        g = self.log_p(features)
+        g = self._scores(features)
         np.exp(g, out=g)
+        g /= g.sum(axis=1, keepdims=True)
         g[np.arange(len(target)), target] -= 1
         for t, f, s in zip(self.tables, features, squares, strict=True):
             order = np.argsort(f, kind="stable")
@@ -131,12 +141,12 @@ def slot_classes(head: list[int], sizes: Sizes) -> np.ndarray:
 def slot_context(previous: np.ndarray) -> np.ndarray:
     """Of the hash of the token before."""
     with np.errstate(over="ignore"):
-        return ((previous * np.uint32(2654435761)) >> np.uint32(24)).astype(np.int64) % SLOT_CONTEXTS
+        return ((previous.astype(np.uint32) * np.uint32(2654435769)) >> np.uint32(24)).astype(np.int64) % SLOT_CONTEXTS
 
 
 def before(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Hash of the token before each position, zero where a text begins."""
-    out = np.concatenate([np.zeros(1, dtype=np.uint32), hashes[:-1]])
+    out = np.concatenate([np.zeros(1, dtype=hashes.dtype), hashes[:-1]])
     out[begin] = 0
     return out
 
@@ -169,13 +179,13 @@ def fit_slots(counts: np.ndarray, classes: np.ndarray, rounds: int = 40) -> np.n
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """Documents as numbers in a block's vocabulary, and the vocabularies: block, h1, h2, class, number, n | block, doc_id, held_out, ids."""
-    schema = "block long, h1 long, h2 long, class int, number int, n long, doc_id string, held_out boolean, ids binary"
+    """Documents as numbers in a block's vocabulary, and the vocabularies: block, hash, class, number, n | block, doc_id, held_out, ids."""
+    schema = "block long, hash long, class int, number int, n long, doc_id string, held_out boolean, ids binary"
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        digest = xxhash.xxh3_128_digest
+        digest = xxhash.xxh3_64_intdigest
 
         def written():
             """The block's rows, some at a time: numbers are renewed in the order of counts, so common tokens have small ones."""
@@ -192,12 +202,12 @@ def _blocks(docs: DataFrame) -> DataFrame:
             for i in range(0, len(words), SLICE):
                 some = words[i : i + SLICE]
                 n = len(some)
-                h = np.frombuffer(b"".join(map(digest, some)), dtype="<i8").reshape(n, 2)
-                yield pd.DataFrame({"block": block, "h1": h[:, 0], "h2": h[:, 1], "class": class_of(some), "number": rank[i : i + n], "n": train[i : i + n], "doc_id": None, "held_out": pd.array([pd.NA] * n, dtype="boolean"), "ids": None})
+                h = np.array(list(map(digest, some)), dtype=np.uint64).view(np.int64)
+                yield pd.DataFrame({"block": block, "hash": h, "class": class_of(some), "number": rank[i : i + n], "n": train[i : i + n], "doc_id": None, "held_out": pd.array([pd.NA] * n, dtype="boolean"), "ids": None})
             for i in range(0, len(rows), 1000):
                 some = rows[i : i + 1000]
                 none = pd.array([pd.NA] * len(some), dtype="Int64")
-                yield pd.DataFrame({"block": block, "h1": none, "h2": none, "class": none, "number": none, "n": none, "doc_id": [r[0] for r in some], "held_out": pd.array([r[1] for r in some], dtype="boolean"), "ids": [rank[r[2]].astype("<i4").tobytes() for r in some]})
+                yield pd.DataFrame({"block": block, "hash": none, "class": none, "number": none, "n": none, "doc_id": [r[0] for r in some], "held_out": pd.array([r[1] for r in some], dtype="boolean"), "ids": [rank[r[2]].astype("<i4").tobytes() for r in some]})
 
         vocabulary: dict = {}
         rows, size = [], 0
@@ -222,37 +232,29 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     blocks = scratch.table(_blocks(docs), "blocks")
-    words = blocks.filter("h1 is not null").select("block", "number", "h1", "h2", "class", "n")
-    counts = scratch.table(words.groupBy("h1", "h2").agg(F.sum("n").alias("c"), F.min("class").alias("class")), "counts")
-    seen = counts.filter("c > 0")
+    by = Window.partitionBy("hash")
+    words = blocks.filter("hash is not null").select("block", "number", "class", "hash", F.sum("n").over(by).alias("c"), (F.row_number().over(by.orderBy("block")) == 1).alias("lead"))
+    words = scratch.table(words, "words")
+    seen = words.filter("lead and c > 0")
     total, distinct = (int(x or 0) for x in seen.agg(F.sum("c"), F.count(F.lit(1))).first())
     sizes = sizes_for(total, distinct)
-    head = seen.orderBy(F.desc("c"), "h1", "h2").limit(sizes.head).collect()  # a bounded number
-    head_h1, head_h2 = (np.array([r[k] for r in head], dtype=np.int64) for k in ("h1", "h2"))
-    in_order = np.argsort(head_h1, kind="stable")
+    head = seen.orderBy(F.desc("c"), "hash").limit(sizes.head).collect()  # a bounded number
     classes = slot_classes([r["class"] for r in head], sizes)
-    part = F.pmod("h2", F.lit(sizes.parts))
+    rest = sizes.head + F.col("class") * sizes.parts + F.pmod("hash", F.lit(sizes.parts))
     slot_n, slot_v = np.zeros(sizes.letters, dtype=np.int64), np.zeros(sizes.letters, dtype=np.int64)
-    for r in seen.groupBy((sizes.head + F.col("class") * sizes.parts + part).alias("slot")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():  # one row a slot
+    for r in seen.groupBy(rest.alias("slot")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():  # one row a slot
         slot_n[r["slot"]], slot_v[r["slot"]] = r["c"], r["v"]
     for i, r in enumerate(head):
-        own = sizes.head + r["class"] * sizes.parts + r["h2"] % sizes.parts
+        own = sizes.head + r["class"] * sizes.parts + r["hash"] % sizes.parts
         slot_n[own], slot_v[own], slot_n[i], slot_v[i] = slot_n[own] - r["c"], slot_v[own] - 1, r["c"], 1
-    sent_head = spark.sparkContext.broadcast((head_h1[in_order], head_h2[in_order], in_order))
-
-    def slots_of(h1: np.ndarray, h2: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        first, second, place = sent_head.value
-        out = sizes.head + kind * sizes.parts + h2 % sizes.parts
-        if len(first):
-            at = np.minimum(np.searchsorted(first, h1), len(first) - 1)
-            out = np.where((first[at] == h1) & (second[at] == h2), place[at], out)
-        return out.astype(np.int16)
+    places = spark.createDataFrame([(r["hash"], i) for i, r in enumerate(head)], "hash long, place int")
+    # The head is of bounded size. Sixteen bits of a token's hash, never zero, are its part in features.
+    known = words.join(F.broadcast(places), "hash", "left").select("block", "number", "c", F.coalesce("place", rest).cast("int").alias("slot"), F.col("hash").bitwiseAND(65535).bitwiseOR(1).cast("int").alias("hash"))
 
     def coded(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         at = left["number"].to_numpy()
-        c, slot, h = np.zeros(len(left), dtype=np.int64), np.zeros(len(left), dtype=np.int16), np.zeros(len(left), dtype=np.uint32)
-        c[at], slot[at] = left["c"].to_numpy(), slots_of(left["h1"].to_numpy(), left["h2"].to_numpy(), left["class"].to_numpy())
-        h[at] = left["h1"].to_numpy().astype(np.uint32) | np.uint32(1)
+        c, slot, h = np.zeros(len(left), dtype=np.int64), np.zeros(len(left), dtype=np.int16), np.zeros(len(left), dtype=np.uint16)
+        c[at], slot[at], h[at] = left["c"].to_numpy(), left["slot"].to_numpy(), left["hash"].to_numpy()
         base = np.log10((c + 1) / (total + distinct + 1))
         inside = np.where(slot >= sizes.head, np.log10((c + 1) / (slot_n + slot_v + 1)[slot]), 0.0)
         rows = []
@@ -266,9 +268,8 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     coded_schema = "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, inside double, slots binary, hashes binary"
     texts = blocks.filter("ids is not null").select(F.col("block").alias("text_block"), "doc_id", "held_out", "ids")
-    known = words.join(counts.select("h1", "h2", "c").hint("merge"), ["h1", "h2"]).select("block", "number", "h1", "h2", "class", "c")
     data = scratch.table(known.groupBy("block").cogroup(texts.groupBy("text_block")).applyInPandas(coded, coded_schema), "coded")
-    scratch.drop(blocks, counts)
+    scratch.drop(blocks, words)
     weights, log_slots = train(data, slot_n, classes, sizes, rounds)
     sent = spark.sparkContext.broadcast((weights, (log_slots / np.log(10)).astype(np.float32)))
 
@@ -284,7 +285,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                 for i in range(0, len(flat), STEP):
                     own = tuple(x[i : i + STEP] for x in f)
                     s = flat[i : i + STEP]
-                    p[i : i + STEP] = weights.log_p(own)[np.arange(len(s)), classes[s]] / np.log(10) + slot_p[context[i : i + STEP], s]
+                    p[i : i + STEP] = weights.log_p_of(own, classes[s]) / np.log(10) + slot_p[context[i : i + STEP], s]
                 parts.append(np.add.reduceat(p, begin))
             out = pdf[["doc_id", "held_out", "n_tokens", "n_known", "base_score"]].copy()
             out["train_tokens"] = total
@@ -298,7 +299,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 def _texts(slots, hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Slots and hashes of several texts in a row, and where each begins."""
     some = [np.frombuffer(s, dtype=np.int16) for s in slots]
-    return np.concatenate(some), np.frombuffer(b"".join(hashes), dtype=np.uint32), np.cumsum([0, *map(len, some)])[:-1]
+    return np.concatenate(some), np.frombuffer(b"".join(hashes), dtype=np.uint16), np.cumsum([0, *map(len, some)])[:-1]
 
 
 def train(data: DataFrame, slot_n: np.ndarray, classes: np.ndarray, sizes: Sizes, rounds: int = ROUNDS) -> tuple[Weights, np.ndarray]:

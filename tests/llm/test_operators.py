@@ -71,19 +71,19 @@ def test_lm_score_by_brute_force(spark, monkeypatch):
     for i, t in texts:
         if zlib.crc32(str("" if i is None else i).encode()) % 7 != 2:
             counts.update(lm_scoring.tokens(t))
-    hashed = lambda w: tuple(int.from_bytes(xxhash.xxh3_128_digest(w)[k : k + 8], "little", signed=True) for k in (0, 8))
-    head = sorted(counts, key=lambda w: (-counts[w], *hashed(w)))[:64]
+    hashed = lambda w: int(np.uint64(xxhash.xxh3_64_intdigest(w)).astype(np.int64))
+    head = sorted(counts, key=lambda w: (-counts[w], hashed(w)))[:64]
     kind = lambda w: int(lm_scoring.class_of([w])[0])
-    slot = lambda w: head.index(w) if w in head else 64 + kind(w) * 4 + hashed(w)[1] % 4
+    slot = lambda w: head.index(w) if w in head else 64 + kind(w) * 4 + hashed(w) % 4
     rest = [w for w in counts if w not in head]
     want = []
     for i, t in texts:
-        total, h = 0.0, [np.uint32(hashed(w)[0] & 0xFFFFFFFF | 1) for w in lm_scoring.tokens(t)]
-        features = lm_scoring.contexts(np.array(h), np.array([0]), sizes.features)
+        total, h = 0.0, [hashed(w) & 65535 | 1 for w in lm_scoring.tokens(t)]
+        features = lm_scoring.contexts(np.array(h, dtype=np.uint16), np.array([0]), sizes.features)
         for k, w in enumerate(lm_scoring.tokens(t)):
             z = weights.bias.astype(float) + sum(table[f[k]] for table, f in zip(weights.tables, features, strict=True))
             total += (z[kind(w)] - np.log(np.exp(z).sum())) / np.log(10)
-            previous = lm_scoring.slot_context(np.array([h[k - 1] if k else 0], dtype=np.uint32))[0]
+            previous = lm_scoring.slot_context(np.array([h[k - 1] if k else 0], dtype=np.uint16))[0]
             total += log_slots[previous, slot(w)] / np.log(10)
             if w not in head:
                 same = [x for x in rest if slot(x) == slot(w)]
