@@ -35,10 +35,11 @@ class Scratch:
         self.count = 0
         _made.append(self)
 
-    def table(self, df: DataFrame, label: str) -> DataFrame:
+    def table(self, df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+        """df, written and read; ``by`` names a column of few values with a folder each."""
         self.count += 1
         path = f"{self.root}/{self.count:02d}-{label}"
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._docwright_path = path
         return out

@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, crc_mod, one_thread
 
-CLASSES, KINDS, SLOT_CONTEXTS, ROUNDS, STEP, FOLDS, HELD_OUT, BLOCK = 32, 3, 256, 4, 32768, 7, 2, 16_000_000
+CLASSES, KINDS, SLOT_CONTEXTS, ROUNDS, STEP, FOLDS, HELD_OUT, BLOCK = 16, 3, 256, 4, 32768, 7, 2, 16_000_000
 #: Bounds of the model's sizes: features of a kind, head, parts of a rest.
-FEATURES, HEAD, PARTS = (2**13, 2**16), (2048, 8192), (4, 32)
+FEATURES, HEAD, PARTS = (2**13, 2**16), (2048, 4096), (8, 64)
 END = b""
 RATE, SLICE = 0.25, 50_000
 
@@ -57,9 +57,9 @@ class Sizes:
 
 
 def sizes_for(n_tokens: int, n_distinct: int) -> Sizes:
-    """Sizes for a training corpus: a feature for 2048 tokens, a head of half the root of the tokens, a part for 2^16 distinct ones."""
+    """Sizes for a training corpus: a feature for 4096 tokens, a head of a quarter of their root, a part for 2^17 distinct ones."""
     power = lambda x, bounds: min(max(1 << max(0, int(x).bit_length() - 1), bounds[0]), bounds[1])
-    return Sizes(power(n_tokens // 2048, FEATURES), power(n_tokens**0.5 / 2, HEAD), power(n_distinct // 2**16, PARTS))
+    return Sizes(power(n_tokens // 4096, FEATURES), power(n_tokens**0.5 / 4, HEAD), power(n_distinct // 2**17, PARTS))
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -124,13 +124,14 @@ class Weights:
         g[np.arange(len(target)), target] -= 1
         for t, f, s in zip(self.tables, features, squares, strict=True):
             order = np.argsort(f, kind="stable")
-            sorted_f = f.take(order)
-            starts = np.flatnonzero(np.concatenate([[True], sorted_f[1:] != sorted_f[:-1]]))
-            rows, total = sorted_f[starts], np.add.reduceat(g.take(order, axis=0), starts, axis=0)
-            n = np.diff(np.append(starts, len(f)))[:, None].astype(np.float32)
-            total /= np.sqrt(n)
-            s[rows] += total * total
-            t[rows] = np.clip(t[rows] - rate * total / np.sqrt(s[rows] + 1e-2), -15, 15)
+            in_order = f.take(order)
+            starts = np.flatnonzero(np.concatenate([[True], in_order[1:] != in_order[:-1]]))
+            rows, n = in_order[starts], np.diff(np.append(starts, len(f))).astype(np.float32)
+            total = np.add.reduceat(g.take(order, axis=0), starts, axis=0)
+            total /= np.sqrt(n)[:, None]
+            own = s[rows] + total * total
+            s[rows] = own
+            t[rows] = np.clip(t[rows] - rate * total / np.sqrt(own + np.float32(1e-2)), -15, 15)
 
 
 def slot_classes(head: list[int], sizes: Sizes) -> np.ndarray:
@@ -268,7 +269,10 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     coded_schema = "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, inside double, slots binary, hashes binary"
     texts = blocks.filter("ids is not null").select(F.col("block").alias("text_block"), "doc_id", "held_out", "ids")
-    data = scratch.table(known.groupBy("block").cogroup(texts.groupBy("text_block")).applyInPandas(coded, coded_schema), "coded")
+    made = known.groupBy("block").cogroup(texts.groupBy("text_block")).applyInPandas(coded, coded_schema)
+    turn = F.when(F.col("held_out"), -1).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(rounds))).cast("int")
+    # A round reads its own folder only.
+    data = scratch.table(made.withColumn("round", turn), "coded", by="round")
     scratch.drop(blocks, words)
     weights, log_slots = train(data, slot_n, classes, sizes, rounds)
     sent = spark.sparkContext.broadcast((weights, (log_slots / np.log(10)).astype(np.float32)))
@@ -303,9 +307,9 @@ def _texts(slots, hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def train(data: DataFrame, slot_n: np.ndarray, classes: np.ndarray, sizes: Sizes, rounds: int = ROUNDS) -> tuple[Weights, np.ndarray]:
-    """The class model's weights and log P(slot | class, context) from the rows of data that are not held out."""
+    """The class model's weights and log P(slot | class, context) from the rows of data; held-out ones have the round -1."""
     spark = data.sparkSession
-    learning = data.filter("not held_out").select("slots", "hashes", F.pmod(F.xxhash64("doc_id"), F.lit(rounds)).cast("int").alias("round"))
+    learning = data.filter("round >= 0").select("slots", "hashes", "round")
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = np.zeros(SLOT_CONTEXTS * sizes.letters, dtype=np.int64)
