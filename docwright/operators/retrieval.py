@@ -100,6 +100,14 @@ def retrieval_scores(hits: DataFrame, expected: DataFrame, k: int = 10, recall_k
     """
     wanted = expected.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_expected"))
     hit = hits.join(expected.withColumn("hit", F.lit(1)), ["query_id", "vec_id"], "left")
+    return flagged_scores(hit, wanted, k, recall_k, discount, cap)
+
+
+def flagged_scores(hit: DataFrame, wanted: DataFrame, k: int = 10, recall_k: int = 5, discount: str = "reciprocal", cap: str = "retrieved") -> DataFrame:
+    """The same from hits that say themselves whether they were expected (query_id, vec_id, rank, hit: 1 if so) and the number expected of each query (query_id, n_expected).
+
+    No row for each expected document is needed, which matters where a query expects a share of all of them.
+    """
     gain = (lambda r: 1.0 / r) if discount == "reciprocal" else (lambda r: 1.0 / F.log2(r + 1))
     per = hit.groupBy("query_id").agg(
         F.sum(F.when((F.col("hit") == 1) & (F.col("rank") <= k), gain(F.col("rank").cast("double"))).otherwise(0.0)).alias("dcg"),

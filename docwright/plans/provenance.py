@@ -8,17 +8,21 @@ from docwright.operators import provenance as P
 
 from .registry import query, table
 
-REGISTERED = "d AS (SELECT sha256(text) AS document_hash, min('doc://' || doc_id) AS source_url, max(length(text))::INT AS n_chars FROM documents WHERE doc_id % 10 <> 0 GROUP BY 1)"
-CHUNKS = "c AS (SELECT DISTINCT sha256(text) AS document_hash, sha256(substr(text, 1, 200)) AS chunk_hash FROM documents)"
+PART = 2000
+REGISTERED = "d AS (SELECT sha256(text) AS document_hash, min('doc://' || doc_id) AS source_url, max(length(text))::INT AS n_chars FROM documents GROUP BY 1)"
+CHUNKS = f"""c AS (SELECT DISTINCT sha256(text) AS document_hash, sha256(substr(text, i * {PART} + 1, {PART})) AS chunk_hash
+FROM (SELECT text, unnest(range(0, greatest(1, ((length(text) + {PART - 1}) // {PART})))) AS i FROM documents))"""
 
 
 def registered(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("doc_id % 10 <> 0")
-    return P.register_documents(d, F.concat(F.lit("doc://"), "doc_id"))
+    return P.register_documents(table(spark, sf_dir, "documents"), F.concat(F.lit("doc://"), "doc_id"))
 
 
 def chunks(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("document_hash"), F.substring("text", 1, 200).alias("content")).distinct()
+    """Every document's whole text in parts of ``PART`` characters."""
+    n = F.greatest(F.lit(1), F.ceil(F.length("text") / PART).cast("int"))
+    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("text"), i * PART + 1, F.lit(PART)))
+    return table(spark, sf_dir, "documents").filter("text is not null").select(F.sha2("text", 256).alias("document_hash"), F.explode(parts).alias("content")).distinct()
 
 
 @query(f"WITH {REGISTERED} SELECT * FROM d")
@@ -39,7 +43,7 @@ def provenance_audit(spark, sf_dir):
     return n(ok, "accepted").crossJoin(n(bad, "orphans"))
 
 
-@query("SELECT sha256(text) AS input_hash, sha256(substr(text, 1, 50)) AS output_hash, 'cut' AS type FROM documents")
+@query("SELECT sha256(text) AS input_hash, sha256(regexp_replace(text, '[0-9]', '#', 'g')) AS output_hash, 'mask' AS type FROM documents")
 def provenance_transformations(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return P.transformation(d, F.col("text"), F.substring("text", 1, 50), "cut", {"chars": "50"}, F.lit("2024-01-01")).select("input_hash", "output_hash", "type")
+    return P.transformation(d, F.col("text"), F.regexp_replace("text", "[0-9]", "#"), "mask", {"digits": "#"}, F.lit("2024-01-01")).select("input_hash", "output_hash", "type")

@@ -8,9 +8,9 @@ from docwright.functions import vectors
 from docwright.operators import metrics as M
 from docwright.operators import records as C
 from docwright.operators import retrieval as R
-from docwright.operators import structure as S
 
 from .registry import query, table
+from .structure import FOUND, found_entities
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 30")
@@ -25,10 +25,9 @@ def title_filter(spark, sf_dir):
     return C.title_contains(p, "title", "THE")
 
 
-@query("SELECT doc_id, 'PERCENT' AS label, '7.5%' AS text FROM documents")
+@query(f"WITH {FOUND} SELECT doc_id, label, text FROM e WHERE label = 'PERCENT'")
 def entity_filter(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("paid $"), "n_chars", F.lit("K at 7.5% a year")).alias("text"))
-    return C.entities_of(S.entity_rows(d, "doc_id"), ["PERCENT"], 0.9).select("doc_id", "label", "text")
+    return C.entities_of(found_entities(spark, sf_dir), ["PERCENT"], 0.9).select("doc_id", "label", "text")
 
 
 @query("SELECT count(*) AS n, 0::BIGINT AS n_invalid, 0.0::DOUBLE AS ratio, true AS valid FROM embeddings")
@@ -42,10 +41,10 @@ def table_probe(spark, sf_dir):
     return C.table_counts(spark, ["tc_nation", "tc_absent"])
 
 
-@query("SELECT h.page_id, h.url, m.n FROM pages h JOIN (SELECT page_id, length(html)::INT AS n FROM pages WHERE page_id % 2 = 0) m USING (page_id)")
+@query("SELECT page_id, url, length(html)::INT AS n, quality FROM pages JOIN labels ON doc_id = page_id")
 def two_source_join(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    return p.select("page_id", "url").join(p.filter("page_id % 2 = 0").select("page_id", F.length("html").alias("n")), "page_id")
+    p = table(spark, sf_dir, "pages").select("page_id", "url", F.length("html").alias("n"))
+    return p.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), "quality"), "page_id")
 
 
 @query("""SELECT a.o_custkey, a.o_orderkey AS i_start, a.o_orderkey + 10 AS i_end, b.o_orderkey - 500 AS o_start, b.o_orderkey + 500 AS o_end

@@ -1,4 +1,4 @@
-"""HTML, structure, chunk and entity queries over pages, documents and literal filings."""
+"""HTML, structure, chunk and entity queries over pages and documents; literal filings are put around or behind whole texts."""
 
 from __future__ import annotations
 
@@ -14,9 +14,10 @@ from docwright.sources import html as H
 from .registry import query, table
 
 TABLE_HTML = """<div><p><b>CONSOLIDATED STATEMENTS OF OPERATIONS</b></p></div><div><table><tr><th></th><th colspan="2">Years ended</th></tr>
-<tr><td></td><td>September 28, 2024</td><td>September 30, 2023</td></tr><tr><td>Net sales</td><td>$391,035</td><td>$383,285</td></tr><tr></tr><tr><td>Loss</td><td>(1,234)</td><td>12.5%</td></tr></table></div>
+<tr><td></td><td>September 28, 2024</td><td>September 30, 2023</td></tr><tr><td>Net sales</td><td>${page_id}</td><td>$383,285</td></tr><tr></tr><tr><td>Loss</td><td>(1,234)</td><td>12.5%</td></tr></table></div>
 <h3>Consolidated balance sheet</h3><table><tr><td>Assets</td><td>2024</td></tr><tr><td>Cash</td><td>29,943</td></tr></table><table><caption>Term debt</caption><tr><td>Notes</td><td>1</td></tr></table>"""
-FILING = "Contents\nItem 1. Business\n4\nItem 1A. Risk Factors\n9\n\nItem 1. Business\nWe design and sell devices, software and services to customers in many countries.\nItem 1A. Risk Factors\nOur business can be harmed by events that we do not control, as described below.\nItem 7. Management's Discussion\nshort\nItem 8. Financial Statements\nThe consolidated statements that follow were prepared under the rules that apply.\n"
+#: The text of a document stands in its first section.
+FILING = "Contents\nItem 1. Business\n4\nItem 1A. Risk Factors\n9\n\nItem 1. Business\nWe design and sell devices, software and services to customers in many countries.\n{text}\nItem 1A. Risk Factors\nOur business can be harmed by events that we do not control, as described below.\nItem 7. Management's Discussion\nshort\nItem 8. Financial Statements\nThe consolidated statements that follow were prepared under the rules that apply.\n"
 
 
 @query()
@@ -29,17 +30,16 @@ def page_text_parsed(spark, sf_dir):
     return H.clean_column(table(spark, sf_dir, "pages").select("page_id", "html"), parser="page_text").select("page_id", "text")
 
 
-HEADER = "'<p>COMPANY CONFORMED NAME: Firm ' || page_id || '</p><p>CENTRAL INDEX KEY: ' || page_id || '</p><p>FILED AS OF DATE: 20240131</p>'"
-
-
 @query("SELECT page_id, 'Firm ' || page_id AS company_name, lpad(page_id::VARCHAR, 10, '0') AS cik, '20240131' AS filing_date, NULL::VARCHAR AS form_type FROM pages")
 def page_metadata(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("<p>COMPANY CONFORMED NAME: Firm "), "page_id", F.lit("</p><p>CENTRAL INDEX KEY: "), "page_id", F.lit("</p><p>FILED AS OF DATE: 20240131</p>")).alias("html"))
+    header = F.concat(F.lit("<p>COMPANY CONFORMED NAME: Firm "), "page_id", F.lit("</p><p>CENTRAL INDEX KEY: "), "page_id", F.lit("</p><p>FILED AS OF DATE: 20240131</p>"))
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat("html", header).alias("html"))
     return H.metadata_column(p).select("page_id", "metadata.company_name", "metadata.cik", "metadata.filing_date", "metadata.form_type")
 
 
 def _tables(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", F.concat("html", F.lit(TABLE_HTML)).alias("html"))
+    before, after = TABLE_HTML.split("{page_id}")
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat("html", F.lit(before), F.col("page_id").cast("string"), F.lit(after)).alias("html"))
     return S.process_tables(H.table_rows(p, "page_id"), values=True)
 
 
@@ -53,22 +53,28 @@ def primary_statements(spark, sf_dir):
     return S.primary_statements(_tables(spark, sf_dir), "page_id")
 
 
-@query("""SELECT page_id, c::INT AS cell, v::DOUBLE AS value, t AS value_type FROM pages, (VALUES (0, NULL, 'text'), (1, 391035, 'currency'), (2, 383285, 'currency')) x(c, v, t)""")
+@query("""SELECT page_id, c::INT AS cell, (CASE c WHEN 1 THEN page_id ELSE v END)::DOUBLE AS value, t AS value_type FROM pages, (VALUES (0, NULL, 'text'), (1, 0, 'currency'), (2, 383285, 'currency')) x(c, v, t)""")
 def table_values(spark, sf_dir):
     v = _tables(spark, sf_dir).filter("position = 0").select("page_id", F.posexplode(F.get("values", F.lit(0))).alias("cell", "v"))
     return v.select("page_id", "cell", F.col("v.value").cast("double").alias("value"), "v.value_type")
 
 
-@query("""SELECT page_id, s AS section_type, w::INT AS word_count FROM pages, (VALUES ('item_1', 13), ('item_1a', 15), ('item_8', 12)) v(s, w)""")
+N_WORDS = r"len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''))"
+
+
+@query(f"""SELECT doc_id, s AS section_type, (CASE s WHEN 'item_1' THEN w + {N_WORDS} ELSE w END)::INT AS word_count FROM documents, (VALUES ('item_1', 13), ('item_1a', 15), ('item_8', 12)) v(s, w)""")
 def sections(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", F.lit(FILING).alias("text"))
-    return S.sections(p, "page_id").select("page_id", "section_type", "word_count")
+    before, after = FILING.split("{text}")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(before), "text", F.lit(after)).alias("text"))
+    return S.sections(d, "doc_id").select("doc_id", "section_type", "word_count")
+
 
+RISK = r"substr(regexp_extract('Item 1A. Risk Factors' || text || ' Item 2', '(?is)ITEM\s*1A[\.\s]+RISK\s*FACTORS(.*?)(?:ITEM\s*1B|ITEM\s*2)', 1), 1, 15000)"
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'content' ELSE 'risk_factors' END AS name, CASE WHEN doc_id % 2 = 0 THEN substr('Item 1A. Risk Factors' || text || ' Item 2', 1, 10000) ELSE substr(text || ' ', 1, 15000) END AS section
-FROM documents WHERE NOT regexp_matches(text, '(?i)ITEM\\s*(1B|2)')""")
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'content' ELSE 'risk_factors' END AS name, CASE WHEN doc_id % 2 = 0 THEN substr('Item 1A. Risk Factors' || text || ' Item 2', 1, 10000) ELSE {RISK} END AS section FROM documents""")
 def key_sections(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"(?i)ITEM\s*(1B|2)")).select("doc_id", F.concat(F.lit("Item 1A. Risk Factors"), "text", F.lit(" Item 2")).alias("t"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Item 1A. Risk Factors"), "text", F.lit(" Item 2")).alias("t"))
     m = S.key_sections(F.col("t"), F.when(F.col("doc_id") % 2 == 0, "8-K").otherwise("10-K"))
     return d.select("doc_id", F.explode(m).alias("name", "section"))
 
@@ -102,13 +108,26 @@ def budget_chunks(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(run("text")).alias("c")).select("doc_id", "c.*")
 
 
-@query("SELECT doc_id, 'MONEY' AS label, '$' || n_chars || 'K' AS text, n_chars * 1000.0::DOUBLE AS value FROM documents UNION ALL SELECT doc_id, 'PERCENT', '7.5%', 7.5 FROM documents")
+FOUND = r"""d AS (SELECT doc_id, text || ' paid $' || n_chars || 'K at 7.5% a year' AS t FROM documents),
+m AS (SELECT doc_id, unnest(regexp_extract_all(t, '(?i)[$€£¥]\s*[\d,]+(?:\.\d+)?(?:\s*(?:million|billion|trillion|thousand|M|B|T|K)\b)?')) AS text FROM d),
+u AS (SELECT *, lower(trim(regexp_replace(text, '[$€£¥,]', '', 'g'))) AS t FROM m),
+e AS (SELECT doc_id, 'MONEY' AS label, text, TRY_CAST(regexp_extract(t, '^(\d+(?:\.\d+)?)', 1) AS DOUBLE) * CASE
+WHEN regexp_extract(t, '([a-z]+)$', 1) IN ('trillion', 't') THEN 1e12 WHEN regexp_extract(t, '([a-z]+)$', 1) IN ('billion', 'b') THEN 1e9 WHEN regexp_extract(t, '([a-z]+)$', 1) IN ('million', 'm') THEN 1e6 WHEN regexp_extract(t, '([a-z]+)$', 1) IN ('thousand', 'k') THEN 1e3 ELSE 1.0 END::DOUBLE AS value FROM u
+UNION ALL SELECT doc_id, 'PERCENT', p, TRY_CAST(trim(replace(p, '%', '')) AS DOUBLE) FROM (SELECT doc_id, unnest(regexp_extract_all(t, '\d+(?:\.\d+)?\s*%')) AS p FROM d))"""
+
+
+def found_entities(spark, sf_dir):
+    """Entities of every document's whole text, with an amount and a share at its end."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" paid $"), "n_chars", F.lit("K at 7.5% a year")).alias("text"))
+    return S.entity_rows(d, "doc_id")
+
+
+@query(f"WITH {FOUND} SELECT doc_id, label, text, value FROM e")
 def entity_union(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("paid $"), "n_chars", F.lit("K at 7.5% a year")).alias("text"))
-    return S.entity_rows(d, "doc_id").select("doc_id", "label", "text", "value")
+    return found_entities(spark, sf_dir).select("doc_id", "label", "text", "value")
 
 
-@query("SELECT label, count(*) AS n FROM (SELECT 'MONEY' AS label FROM documents UNION ALL SELECT 'PERCENT' FROM documents) GROUP BY 1")
+@query(f"WITH {FOUND} SELECT label, count(*) AS n FROM e GROUP BY 1")
 def entity_counts(spark, sf_dir):
     return entity_union(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 

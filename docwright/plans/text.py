@@ -225,10 +225,15 @@ def phrase_lines(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.phrases(F.col("text")).alias("text"))
 
 
-NUMBERS = r"\b\d+(?:\.\d+)?\s*(?:minutes?|hours?|days?|weeks?|months?)\b"
+DOMAIN = T.HEALTHCARE | T.FINANCE
+MENTIONS = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?i){p}'), lambda x: trim(x)))), '|') AS mentions FROM t" for k, p in DOMAIN.items())
 
 
-@query(rf"SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?i){NUMBERS}'), lambda x: trim(x)))), '|') AS times FROM documents")
+# DuckDB's word boundaries are those of ASCII: other letters become underscores there, other signs become a hash.
+PLAIN = r"t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[\x{80}-\x{BF}\x{2000}-\x{2BFF}\x{3000}-\x{303F}]', '#', 'g'), '[\x{C0}-\x{10FFFF}]', '_', 'g') AS text FROM documents)"
+
+
+@query(f"WITH {PLAIN} SELECT * FROM ({MENTIONS}) WHERE mentions <> ''")
 def domain_entities(spark, sf_dir):
-    e = docs(spark, sf_dir).select("doc_id", T.entities(F.col("text"), {"TIME_VALUE": T.HEALTHCARE["TIME_VALUE"]}).alias("e"))
-    return e.select("doc_id", F.coalesce(F.array_join(F.try_element_at("e", F.lit("TIME_VALUE")), "|"), F.lit("")).alias("times"))
+    e = docs(spark, sf_dir).select("doc_id", F.explode(T.entities(F.col("text"), DOMAIN)).alias("kind", "found"))
+    return e.select("doc_id", "kind", F.array_join("found", "|").alias("mentions"))

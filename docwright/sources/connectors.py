@@ -61,9 +61,20 @@ def json_or_text(raw: Column, field: str = "text") -> Column:
     return F.coalesce(F.get_json_object(raw, f"$.{field}"), raw)
 
 
-def replace_documents(df: DataFrame, path: str, key: str = "document_id") -> None:
-    """Delete-then-insert: all rows of the documents in df are replaced, other documents stay."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+def replace_documents(df: DataFrame, path: str, key: str = "document_id", buckets: int = 256) -> None:
+    """Delete-then-insert: all rows of the documents in df are replaced, other documents stay.
+
+    Documents lie in ``buckets`` folders by a hash of their key. Only folders that df touches are rewritten, with the rows of
+    their other documents; the number of folders does not grow with that of documents.
+    """
+    spark, column = df.sparkSession, "_bucket"
+    new = df.withColumn(column, F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int"))
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        touched = [r[0] for r in new.select(column).distinct().collect()]  # at most `buckets`
+        old = spark.read.parquet(path).filter(F.col(column).isin(touched))
+        new = new.unionByName(old.join(df.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
 
 
 def export_records(df: DataFrame, path: str, by: Sequence[str]) -> None:
@@ -95,7 +106,7 @@ def metric_by_class(metrics: Column, name: str) -> Column:
 
 def answer_events(lines: DataFrame, request: str = "request_id", seq: str = "seq", line: str = "line") -> DataFrame:
     """request_id, answer, n_tokens, citations, done, error from lines ``data: {json}`` of token, citation, done and error events."""
-    data = lines.filter(F.col(line).startswith("data: ")).withColumn("j", F.substring(line, 7, 1_000_000))
+    data = lines.filter(F.col(line).startswith("data: ")).withColumn("j", F.substr(F.col(line), F.lit(7)))
     field = lambda f: F.get_json_object("j", f"$.{f}")
     e = data.select(request, F.struct(F.col(seq).alias("seq"), field("type").alias("type"), F.coalesce(field("content"), field("data")).alias("content")).alias("e"))
     ordered = F.array_sort(F.collect_list("e"))
@@ -154,5 +165,5 @@ class _FilingReader(DataSourceReader):
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """A report as JSON; the numbers of rows and nulls are observed on the way."""
+    """A report as JSON, one object a row."""
     df.write.mode("overwrite").json(path)

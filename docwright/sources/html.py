@@ -22,6 +22,8 @@ BREAKS = frozenset("p div br li tr h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(("script", "style"))
 NAVIGATION = re.compile("nav|menu|header|footer", re.I)
+#: The bound that HTML puts on colspan.
+MOST_COLUMNS = 1000
 #: An opening tag ends these open elements.
 CLOSES = {"li": {"li"}, "p": {"p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "p": {"div", "td", "th", "body", "section", "article", "li"}, "option": {"select"}}
@@ -34,20 +36,29 @@ class Element:
         self.name, self.attrs, self.parent, self.children = name, attrs, parent, []
 
     def walk(self) -> Iterator[Element]:
-        for c in self.children:
-            if isinstance(c, Element):
+        """Elements below, in the order of the page; pages may be deeper than Python's stack."""
+        open_ = [iter(self.children)]
+        while open_:
+            c = next(open_[-1], None)
+            if c is None:
+                open_.pop()
+            elif isinstance(c, Element):
                 yield c
-                yield from c.walk()
+                open_.append(iter(c.children))
 
     def find_all(self, *names: str) -> Iterator[Element]:
         return (e for e in self.walk() if e.name in names)
 
     def texts(self) -> Iterator[str]:
-        for c in self.children:
-            if isinstance(c, str):
+        open_ = [iter(self.children)]
+        while open_:
+            c = next(open_[-1], None)
+            if c is None:
+                open_.pop()
+            elif isinstance(c, str):
                 yield c
             else:
-                yield from c.texts()
+                open_.append(iter(c.children))
 
     def text(self) -> str:
         """Stripped strings joined without anything between."""
@@ -68,7 +79,7 @@ class _Builder(HTMLParser):
     def handle_starttag(self, tag, attrs):
         ends, scope = CLOSES.get(tag, set()), SCOPE.get(tag, set())
         e, close = self.at, None
-        while e.parent is not None and e.name not in scope:
+        while ends and e.parent is not None and e.name not in scope:
             if e.name in ends:
                 close = e
             e = e.parent
@@ -104,10 +115,11 @@ def parse(html: str | None) -> Element:
 
 
 def prune(root: Element, gone) -> None:
-    root.children = [c for c in root.children if isinstance(c, str) or not gone(c)]
-    for c in root.children:
-        if isinstance(c, Element):
-            prune(c, gone)
+    todo = [root]
+    while todo:
+        e = todo.pop()
+        e.children = [c for c in e.children if isinstance(c, str) or not gone(c)]
+        todo += [c for c in e.children if isinstance(c, Element)]
 
 
 def normalize(text: str) -> str:
@@ -210,7 +222,7 @@ def tables(html: str | None) -> list[tuple[str | None, list[list[str]]]]:
             cells = []
             for c in r.find_all("td", "th"):
                 span = c.attrs.get("colspan", "1").strip()
-                cells += [c.text()] * (int(span) if span.isdigit() else 1)
+                cells += [c.text()] * (min(int(span[:9]), MOST_COLUMNS) if span.isdecimal() else 1)
             if cells:
                 rows.append(cells)
         if rows:

@@ -12,6 +12,7 @@ from docwright.operators import retrieval as E
 from docwright.operators import structure as S
 from docwright.plans import promql
 from docwright.sources import connectors as C
+from docwright.sources import fetch as fetch_module
 from docwright.sources import html as H
 from docwright.streaming import metrics as SM
 
@@ -129,7 +130,10 @@ def test_chunker():
     assert [x["token_count"] for x in S.Chunker(strict_reference=True).chunks(first, "d")][0] == 0
     lead = "Text before.\n# Head\nbody"
     assert len(c.chunks(lead, "d")) == 2 and len(S.Chunker(strict_reference=True).chunks(lead, "d")) == 1
-    assert [h[1:] for h in S.headings("# One\n1.2 Title here\nITEM 1A. Risk\n")] == [("One", 1), ("1.2 Title here\nITEM 1A", 2)] or len(S.headings("# One\n1.2 Title here\nITEM 1A. Risk\n")) >= 2
+    lines = "# One\n1.2 Title here\nITEM 1A. Risk\nPart iv: The rest\n#### four\n#none\n3 lower\n2.1 Ends. here\nItem x2 Foo\nitem 7 b\n"
+    assert [h[1:] for h in S.headings(lines)] == [("One", 1), ("1.2 Title here", 2), ("ITEM 1A. Risk", 1), ("Part iv: The rest", 1), ("item 7 b", 1)]
+    assert all(lines[a:].startswith(h.split()[0]) or lines[a] == "#" for a, h, _ in S.headings(lines))
+    assert S.table_regions("a <TABLE x><tr></table > b <tables></table>\n|a|\n|b|\n|c|\nend\n|a|\n|b|\n") == [(2, 24), (44, 56)]
     assert S.budget_chunks("a b") == S.budget_chunks("a  b") and len(S.budget_chunks("word " * 300)) > 2
 
 
@@ -259,3 +263,66 @@ def test_exact_topk_in_blocks(spark, monkeypatch):
     assert key(E.vector_topk(q, v, 4)) == key(E.vector_topk(q, v, 4, exact=False))
     tagged = v.withColumn("tenant_id", F.when(F.col("vec_id") < 10, "a").otherwise("b"))
     assert {r["vec_id"] < 10 for r in E.vector_topk(q, tagged, 3, tenant="a").collect()} == {True}
+
+
+def test_deep_pages_and_wide_cells():
+    deep = "<div>" * 100_000 + "long enough" + "</div>" * 100_000
+    assert H.clean(deep) == "long enough"
+    assert H.page_text(deep) == "long enough"
+    assert H.metadata(deep)["cik"] is None
+    assert H.tables(deep) == []
+    rows = H.tables('<table><tr><td colspan="1000000000">a</td><td colspan="2">b</td></tr></table>')[0][1]
+    assert len(rows[0]) == 1002
+
+
+def test_long_event_lines_are_whole(spark):
+    text = "x" * 2_000_000
+    lines = spark.createDataFrame([("r", 0, 'data: {"type": "token", "content": "' + text + '"}'), ("r", 1, 'data: {"type": "done"}')], "request_id string, seq int, line string")
+    row = C.answer_events(lines).first()
+    assert len(row["answer"]) == 2_000_000 and row["done"]
+
+
+def test_foreign_chunks_are_orphans(spark):
+    docs = P.register_documents(spark.createDataFrame([("a", "text one"), ("b", "text two"), ("c", "text one")], "url string, text string"), F.col("url"))
+    known = [r["document_hash"] for r in docs.collect()]
+    chunks = spark.createDataFrame([(known[0], "x"), (known[1], "y"), ("0" * 64, "z")], "document_hash string, content string")
+    ok, bad = P.register_chunks(chunks, docs)
+    assert (ok.count(), [r["content"] for r in bad.collect()]) == (2, ["z"])
+    chain = {r["chunk_hash"]: len(r["chain"]) for r in P.chains(ok.unionByName(bad), docs).collect()}
+    assert sorted(chain.values()) == [2, 3, 3]
+
+
+def test_fetch_pages_retries_and_skips(spark):
+    def fetch(key, token):
+        if key == "down":
+            raise TimeoutError("no answer")
+        if key == "bad":
+            raise ValueError("no such key")
+        page = int(token or 0)
+        return [f'{{"k": "{key}", "n": {page * 2 + i}}}' for i in range(2)], str(page + 1) if page < 2 else None
+
+    keys = spark.createDataFrame([("a",), ("b",), ("down",), ("bad",), (None,), ("a",)], "cik string")
+    rows = fetch_module.fetch_records(keys, "cik", fetch, tasks=2, per_second=1000.0, most=5, first_wait=0.001).collect()
+    good = [(r["key"], r["seq"]) for r in rows if r["error"] is None]
+    assert sorted(good) == [(k, i) for k in "ab" for i in range(5)]
+    assert {r["key"]: r["error"].split(":")[0] for r in rows if r["error"]} == {"down": "TimeoutError", "bad": "ValueError"}
+
+
+def test_pace_and_retries():
+    now, slept = [0.0], []
+    sleep = lambda s: (slept.append(round(s, 6)), now.__setitem__(0, now[0] + s))
+    pace = fetch_module.Pace(0.1, lambda: now[0], sleep)
+    for _ in range(4):
+        pace.wait()
+    assert slept == [0.1, 0.1, 0.1]
+    calls, waits = [], []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 4:
+            raise ConnectionError
+        return "ok"
+
+    assert fetch_module.with_retries(flaky, 3, 1.0, waits.append) == "ok" and waits == [1.0, 2.0, 4.0]
+    with pytest.raises(ConnectionError):
+        fetch_module.with_retries(lambda: (_ for _ in ()).throw(ConnectionError()), 2, 1.0, waits.append)
