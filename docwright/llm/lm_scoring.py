@@ -179,6 +179,16 @@ def fit_slots(counts: np.ndarray, classes: np.ndarray, rounds: int = 40) -> np.n
     return out
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Lower halves, then upper halves, which are nearly all zero and compress to little."""
+    return numbers.astype("<u2").tobytes() + (numbers >> 16).astype("<u2").tobytes()
+
+
+def _whole(planes: bytes) -> np.ndarray:
+    low, high = np.frombuffer(planes, dtype="<u2").reshape(2, -1)
+    return low | (high.astype(np.int32) << 16)
+
+
 def _blocks(docs: DataFrame) -> DataFrame:
     """Documents as numbers in a block's vocabulary, and the vocabularies: block, hash, class, number, n | block, doc_id, held_out, ids."""
     schema = "block long, hash long, class int, number int, n long, doc_id string, held_out boolean, ids binary"
@@ -208,7 +218,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
             for i in range(0, len(rows), 1000):
                 some = rows[i : i + 1000]
                 none = pd.array([pd.NA] * len(some), dtype="Int64")
-                yield pd.DataFrame({"block": block, "hash": none, "class": none, "number": none, "n": none, "doc_id": [r[0] for r in some], "held_out": pd.array([r[1] for r in some], dtype="boolean"), "ids": [rank[r[2]].astype("<i4").tobytes() for r in some]})
+                yield pd.DataFrame({"block": block, "hash": none, "class": none, "number": none, "n": none, "doc_id": [r[0] for r in some], "held_out": pd.array([r[1] for r in some], dtype="boolean"), "ids": [_planes(rank[r[2]]) for r in some]})
 
         vocabulary: dict = {}
         rows, size = [], 0
@@ -248,19 +258,22 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     for i, r in enumerate(head):
         own = sizes.head + r["class"] * sizes.parts + r["hash"] % sizes.parts
         slot_n[own], slot_v[own], slot_n[i], slot_v[i] = slot_n[own] - r["c"], slot_v[own] - 1, r["c"], 1
+    # One long for a vocabulary's row: slot, hash, number.
+    packed = F.shiftleft(F.coalesce("place", rest).cast("long"), 47).bitwiseOR(F.shiftleft(F.col("hash").bitwiseAND(65535).bitwiseOR(1), 31)).bitwiseOR(F.col("number").cast("long"))
     places = spark.createDataFrame([(r["hash"], i) for i, r in enumerate(head)], "hash long, place int")
     # The head is of bounded size. Sixteen bits of a token's hash, never zero, are its part in features.
-    known = words.join(F.broadcast(places), "hash", "left").select("block", "number", "c", F.coalesce("place", rest).cast("int").alias("slot"), F.col("hash").bitwiseAND(65535).bitwiseOR(1).cast("int").alias("hash"))
+    known = words.join(F.broadcast(places), "hash", "left").select("block", "c", packed.alias("packed"))
 
     def coded(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        at = left["number"].to_numpy()
+        p = left["packed"].to_numpy()
+        at = p & 0x7FFFFFFF
         c, slot, h = np.zeros(len(left), dtype=np.int64), np.zeros(len(left), dtype=np.int16), np.zeros(len(left), dtype=np.uint16)
-        c[at], slot[at], h[at] = left["c"].to_numpy(), left["slot"].to_numpy(), left["hash"].to_numpy()
+        c[at], slot[at], h[at] = left["c"].to_numpy(), p >> 47, (p >> 31) & 65535
         base = np.log10((c + 1) / (total + distinct + 1))
         inside = np.where(slot >= sizes.head, np.log10((c + 1) / (slot_n + slot_v + 1)[slot]), 0.0)
         rows = []
         for ids in right["ids"]:
-            ids = np.frombuffer(ids, dtype="<i4")
+            ids = _whole(ids)
             rows.append((len(ids), int((c[ids] > 0).sum()), base[ids].sum(), inside[ids].sum(), slot[ids].tobytes(), h[ids].tobytes()))
         out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base_score", "inside", "slots", "hashes"])
         out.insert(0, "doc_id", right["doc_id"].to_numpy())
