@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docwright.functions import money
@@ -20,9 +19,8 @@ def year_over_year(df: DataFrame, keys: Sequence[str], year: str, quarter: str,
 def quarter_over_quarter(df: DataFrame, keys: Sequence[str], year: str, quarter: str, value: str, how=money.growth) -> DataFrame:
     """Adds prior and growth against the quarter just before, across years."""
     ordinal = F.col(year) * 4 + F.col(quarter)
-    w = Window.partitionBy(*keys).orderBy(ordinal) if keys else Window.partitionBy(F.lit(0)).orderBy(ordinal)
-    prior = F.when(ordinal - F.lag(ordinal).over(w) == 1, F.lag(value).over(w))
-    return df.withColumn("prior", prior).withColumn("growth", how(F.col(value), F.col("prior")))
+    prior = df.select(*keys, (ordinal + 1).alias("_ordinal"), F.col(value).alias("prior"))
+    return df.withColumn("_ordinal", ordinal).join(prior, [*keys, "_ordinal"], "left").drop("_ordinal").withColumn("growth", how(F.col(value), F.col("prior")))
 
 
 def silver_quality(ticker: Column, period_end: Column, text: Column, failed: Column) -> Column:

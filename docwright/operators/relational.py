@@ -74,6 +74,29 @@ def document_url(base: str, cik: Column, accession: Column, document: Column) ->
     return F.concat_ws("/", F.lit(base), F.regexp_replace(cik, "^0+", ""), F.regexp_replace(accession, "-", ""), document)
 
 
+def containing(texts: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item: str, run: int = 3) -> DataFrame:
+    """key, text, item_key, item for every text that contains an item, found by shared runs of words.
+
+    An item's words between blanks, but for the first and the last, stand whole in each text that contains it. One hashed run
+    of ``run`` of them is joined with the runs of the texts, and what meets is checked. Items with fewer words between have no
+    run and are looked for in every text: they are the short ones of a stated list. Nulls contain nothing and are in nothing;
+    rows without a key are not found.
+    """
+
+    def runs(words: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(words) - run + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, run), " ")))
+
+    t, i = texts.select(key, text), items.filter(F.col(item).isNotNull()).select(item_key, item)
+    words = F.split(F.col(item), " ")
+    long = F.size(words) >= run + 2
+    anchors = i.filter(long).select(item_key, F.array_min(runs(F.slice(words, 2, F.size(words) - 2))).alias("_anchor"))
+    spread = t.withColumn("_words", F.split(F.col(text), " ")).filter(F.size("_words") >= run).select(key, F.explode(F.array_distinct(runs(F.col("_words")))).alias("_anchor"))
+    met = spread.join(anchors, "_anchor").select(key, item_key).distinct()
+    found = met.join(t, key).join(i.filter(long), item_key).filter(F.contains(text, F.col(item)))
+    rest = t.join(i.filter(~long), F.contains(text, F.col(item)))
+    return found.select(key, text, item_key, item).unionByName(rest.select(key, text, item_key, item))
+
+
 def zip_arrays(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Rows from parallel arrays of one record."""
     z = F.explode(F.arrays_zip(*[F.col(c).alias(c.rsplit(".", 1)[-1]) for c in columns])).alias("z")

@@ -7,7 +7,11 @@ The grammar: selectors with =, !=, =~, !~ matchers (regular expressions are anch
 increase, avg_over_time, min_over_time, max_over_time, sum_over_time, count_over_time, histogram_quantile, abs, vector; the
 aggregations sum, avg, min, max, count with by and without, before or after the argument; + - * / and comparisons between
 vectors with equal labels or with numbers; ``or``; parentheses. rate is the reset-aware increase over the seconds of the
-window; it does not extrapolate to the window's borders.
+window; it does not extrapolate to the window's borders. Samples without a time or a value are no samples.
+
+The borders of all windows cut time into segments. A sample meets its segment through a bucket of time, segments are
+aggregated before they travel, and a window is put together from the few dyadic runs of segments that cover it, so that
+overlapping windows copy no samples.
 """
 
 from __future__ import annotations
@@ -15,15 +19,24 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from datetime import datetime
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 from docwright.operators.metrics import _quantile
 
-TOKEN = re.compile(r"\s*(?:(\d+(?:\.\d+)?(?:e[+-]?\d+)?)(?![a-zA-Z_])|(\"(?:[^\"\\]|\\.)*\")|([a-zA-Z_:][a-zA-Z0-9_:]*)|(\[\s*\d+[smhdw]\s*\])|(\d+[smhdw])|(=~|!~|!=|==|>=|<=|[-+*/(){},=<>]))")
+TOKEN = re.compile(r"\s*(?:(\d+(?:\.\d+)?(?:e[+-]?\d+)?)(?![a-zA-Z_0-9.])|(\"(?:[^\"\\]|\\.)*\")|([a-zA-Z_:][a-zA-Z0-9_:]*)|(\[\s*\d+[smhdw]\s*\])|(\d+[smhdw])|(=~|!~|!=|==|>=|<=|[-+*/(){},=<>]))")
 UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
-OVER_TIME = {"avg_over_time": F.avg, "min_over_time": F.min, "max_over_time": F.max, "sum_over_time": F.sum, "count_over_time": F.count}
+#: Merges of a window's parts.
+OVER_TIME = {
+    "avg_over_time": lambda: F.sum("total") / F.sum("n"),
+    "min_over_time": lambda: F.min("least"),
+    "max_over_time": lambda: F.max("most"),
+    "sum_over_time": lambda: F.sum("total"),
+    "count_over_time": lambda: F.sum("n"),
+}
 AGGREGATES = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count}
 COMPARE = {">": lambda a, b: a > b, "<": lambda a, b: a < b, ">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b, "==": lambda a, b: a == b, "!=": lambda a, b: a != b}
 ARITHMETIC = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": lambda a, b: F.try_divide(a, b)}
@@ -39,6 +52,19 @@ def seconds(text: str) -> int:
     return int(n) * UNITS[unit]
 
 
+def dyadic(first: int, end: int):
+    """(level, node) of the dyadic runs that make up the segments first to end - 1; node k of level l is the 2^l segments from k * 2^l on."""
+    level = 0
+    while first < end:
+        if first & 1:
+            yield level, first
+            first += 1
+        if end & 1:
+            end -= 1
+            yield level, end
+        first, end, level = first >> 1, end >> 1, level + 1
+
+
 @dataclass
 class Number:
     value: float
@@ -187,7 +213,8 @@ class Evaluator:
 
     def __init__(self, series: DataFrame, at: list[datetime]):
         self.series, self.spark = series, series.sparkSession
-        self.at = self.spark.createDataFrame([(t,) for t in at], "at timestamp")
+        self.instants = list(dict.fromkeys(at))
+        self.at = self.spark.createDataFrame([(t,) for t in self.instants], "at timestamp")
 
     def matching(self, s: Selector) -> DataFrame:
         df = self.series if s.metric is None else self.series.filter(F.col("metric") == s.metric)
@@ -204,19 +231,59 @@ class Evaluator:
 
     def instant(self, s: Selector) -> DataFrame:
         """The newest sample of each series in the five minutes before the instant."""
-        return self.windowed(s, STALE).groupBy("at", "labels").agg(F.max_by("value", "ts").alias("value"))
+        parts, wanted = self.parts(s, STALE)
+        return self.merged(parts, wanted).agg(F.max_by("newest", "newest_at").alias("value"))
+
+    def parts(self, s: Selector, width: int, deltas: bool = False) -> tuple[DataFrame, list]:
+        """Samples' aggregates by (labels, segment), with their increases where ``deltas``, and the (at, level, node) that make up each window."""
+        if width <= 0:
+            raise PromQLError("an empty range")
+        ends = [TimestampType().toInternal(t) - s.offset * 10**6 for t in self.instants]
+        size = width * 10**6
+        bounds = sorted({b for e in ends for b in (e - size, e)}) or [0, 1]
+        place = {b: i for i, b in enumerate(bounds)}
+        wanted = [(t, level, node) for t, e in zip(self.instants, ends, strict=True) for level, node in dyadic(place[e - size], place[e])]
+        # Buckets as wide as the mean segment: at most two rows for each segment.
+        low, step = bounds[0], -(-(bounds[-1] - bounds[0]) // (len(bounds) - 1))
+        cuts = [(k, i, a, b) for i, (a, b) in enumerate(pairwise(bounds)) for k in range((a - low) // step, (b - 1 - low) // step + 1)]
+        cuts = self.spark.createDataFrame(cuts, "bucket long, segment int, after long, upto long")
+        inside = (F.col("ts") > F.timestamp_micros(F.lit(low))) & (F.col("ts") <= F.timestamp_micros(F.lit(bounds[-1])))
+        samples = self.keyed(self.matching(s).filter(inside & F.col("value").isNotNull()))
+        samples = samples.select("labels", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).withColumn("bucket", F.expr(f"(us - {low} - 1) div {step}"))
+        samples = samples.join(cuts, "bucket").filter((F.col("us") > F.col("after")) & (F.col("us") <= F.col("upto")))
+        if deltas:
+            # A fall is a reset: the counter began again at zero.
+            before = F.lag("value").over(Window.partitionBy("labels", "segment").orderBy("us"))
+            samples = samples.withColumn("d", self.delta(before, F.col("value")))
+        else:
+            samples = samples.withColumn("d", F.lit(0.0))
+        return samples.groupBy("labels", "segment").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.min("value").alias("least"), F.max("value").alias("most"), F.sum("d").alias("inner"),
+            F.min_by("value", "us").alias("oldest"), F.max_by("value", "us").alias("newest"), F.max("us").alias("newest_at"),
+        ), wanted
 
-    def windowed(self, s: Selector, width: int) -> DataFrame:
-        past = F.make_interval(secs=F.lit(s.offset))
-        edge = self.at.withColumn("_to", F.col("at") - past).withColumn("_from", F.col("at") - past - F.make_interval(secs=F.lit(width)))
-        # Instants are a stated list of a dashboard's steps.
-        return self.keyed(self.matching(s)).join(F.broadcast(edge), (F.col("ts") > F.col("_from")) & (F.col("ts") <= F.col("_to"))).select("at", "labels", "ts", "value")
+    @staticmethod
+    def delta(before: Column, value: Column) -> Column:
+        return F.when(before.isNull(), 0.0).when(value < before, value).otherwise(value - before)
+
+    def merged(self, parts: DataFrame, wanted: list):
+        """Parts of dyadic runs, joined to the windows that they make up, grouped by (at, labels)."""
+        deepest = max((level for _, level, _ in wanted), default=0)
+        gap = F.col("gap") if "gap" in parts.columns else F.lit(0.0)
+        runs = parts.withColumn("gap", gap).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(deepest)))).withColumn("node", F.expr("shiftright(segment, level)"))
+        runs = runs.groupBy("labels", "level", "node").agg(
+            F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"), F.max_by("newest", "newest_at").alias("newest"), F.max("newest_at").alias("newest_at"),
+            F.sum("inner").alias("inner"), F.sum("gap").alias("gaps"), F.min_by("gap", "segment").alias("first_gap"), F.min("segment").alias("segment"),
+        )
+        return runs.join(self.spark.createDataFrame(wanted, "at timestamp, level int, node int"), ["level", "node"]).groupBy("at", "labels")
 
     def increase(self, s: Selector) -> DataFrame:
-        w = Window.partitionBy("at", "labels").orderBy("ts")
-        before = F.lag("value").over(w)
-        d = F.when(before.isNull(), 0.0).when(F.col("value") < before, F.col("value")).otherwise(F.col("value") - before)
-        return self.windowed(s, s.window).withColumn("d", d).groupBy("at", "labels").agg(F.sum("d").alias("value"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+        """The increases inside a window's segments and between them; what leads to its first sample does not count."""
+        parts, wanted = self.parts(s, s.window, deltas=True)
+        before = F.lag("newest").over(Window.partitionBy("labels").orderBy("segment"))
+        parts = parts.withColumn("gap", self.delta(before, F.col("oldest")))
+        value = F.sum("inner") + (F.sum("gaps") - F.min_by("first_gap", "segment"))
+        return self.merged(parts, wanted).agg(value.alias("value"), F.sum("n").alias("n")).filter("n > 1").drop("n")
 
     def plan(self, e) -> DataFrame | float:
         if isinstance(e, Number):
@@ -239,7 +306,7 @@ class Evaluator:
             if not isinstance(s, Selector) or s.window is None:
                 raise PromQLError(f"{e.name} needs a range")
             if e.name in OVER_TIME:
-                return self.windowed(s, s.window).groupBy("at", "labels").agg(OVER_TIME[e.name]("value").cast("double").alias("value"))
+                return self.merged(*self.parts(s, s.window)).agg(OVER_TIME[e.name]().cast("double").alias("value"))
             df = self.increase(s)
             return df.withColumn("value", F.col("value") / s.window) if e.name == "rate" else df
         if e.name == "vector":

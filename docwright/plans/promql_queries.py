@@ -83,6 +83,10 @@ def promql_histogram_quantile(spark, sf_dir):
     return run(spark, sf_dir, "histogram_quantile(0.95, sum(rate(api_latency_seconds_bucket[7d])) by (le))").select("at", "value")
 
 
-@query()
+@query(f'''WITH {LAST}, s AS (SELECT event_type AS route, event_type = 'error' AS bad, date_trunc('hour', ts)::TIMESTAMP + INTERVAL 1 HOUR AS t, count(*) AS n FROM events GROUP BY 1, 2, 3),
+w AS (SELECT "at", d, "at" - to_days(d::INT) AS upto FROM a, (SELECT unnest(range(0, 2)) AS d)),
+i AS (SELECT "at", d, route, bad, sum(n) - arg_min(n, t) AS inc FROM w JOIN s ON t > upto - INTERVAL 1 DAY AND t <= upto GROUP BY 1, 2, 3, 4 HAVING count(*) > 1),
+r AS (SELECT "at", (sum(inc) FILTER (WHERE d = 0))::DOUBLE / nullif(sum(inc) FILTER (WHERE d = 1), 0)::DOUBLE AS v FROM i GROUP BY 1)
+SELECT "at", round(v, 9) AS value FROM r WHERE v > 0.5''')
 def promql_offset(spark, sf_dir):
-    return run(spark, sf_dir, "sum(increase(api_requests_total[1d])) / sum(increase(api_requests_total[1d] offset 1d)) > 0.5").select("at", "value")
+    return run(spark, sf_dir, "sum(increase(api_requests_total[1d])) / sum(increase(api_requests_total[1d] offset 1d)) > 0.5").select(F.col("at").cast("timestamp_ntz").alias("at"), F.round("value", 9).alias("value"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docwright.functions import text as T
+from docwright.operators import relational
 from docwright.operators import retrieval as R
 
 from .registry import query, table
@@ -191,9 +192,8 @@ def tenant_roles(spark, sf_dir):
 @query("""SELECT doc_id, item_id, strpos(d.text, b.text) - 1 AS "start", strpos(d.text, b.text) - 1 + length(b.text) AS "end", len(string_split(substr(d.text, 1, strpos(d.text, b.text) - 1), chr(10))) AS first_line,
 len(string_split(substr(d.text, 1, strpos(d.text, b.text) - 1 + length(b.text)), chr(10))) AS last_line FROM documents d JOIN benchmark b ON strpos(d.text, b.text) > 0""")
 def span_offsets(spark, sf_dir):
-    # The benchmark is a stated list of items whose size is that of its file, which the planner checks before a broadcast.
     b = table(spark, sf_dir, "benchmark").withColumnRenamed("text", "item")
-    hit = docs(spark, sf_dir).select("doc_id", "text").join(b, F.contains("text", F.col("item")))
+    hit = relational.containing(docs(spark, sf_dir), "doc_id", "text", b, "item_id", "item")
     s = hit.select("doc_id", "item_id", T.span(F.col("text"), F.col("item")).alias("s"))
     return s.select("doc_id", "item_id", *[F.col(f"s.{c}").cast("long").alias(c) for c in ("start", "end", "first_line", "last_line")])
 

@@ -37,15 +37,25 @@ def quantile(histograms: DataFrame, q: float) -> DataFrame:
     return histograms.withColumn("value", M._quantile(q, F.col("h"))).drop("h")
 
 
-def alert_hold(ticks: DataFrame, key: str, ts: str, firing: str, hold_seconds: int) -> DataFrame:
+def _expires(t, zone: str, seconds: int) -> int:
+    """Milliseconds of the epoch ``seconds`` after a local time of the session's zone, as state timeouts want them."""
+    return int(pd.Timestamp(t).tz_localize(zone, ambiguous=True, nonexistent="shift_forward").timestamp() + seconds) * 1000
+
+
+def alert_hold(ticks: DataFrame, key: str, ts: str, firing: str, hold_seconds: int, late: str = "10 minutes", idle_seconds: int = 86400) -> DataFrame:
     """key, since, fires_at: once for each stretch on which the boolean ``firing`` held for hold_seconds.
 
     State of a key: the beginning of its stretch and whether it fired. Ticks of a batch are taken in time order; a tick
-    older than the newest one seen is ignored.
+    older than the newest one seen, without a time, or later than ``late`` is ignored. A key that is silent for
+    ``idle_seconds`` (and never less than the hold) loses its state, which ends its stretch.
     """
-    kind = dict(ticks.dtypes)[key]
+    kind, zone = dict(ticks.dtypes)[key], ticks.sparkSession.conf.get("spark.sql.session.timeZone")
+    idle = max(idle_seconds, hold_seconds)
 
     def run(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         since, fired, newest = state.get if state.exists else (None, False, None)
         out = []
         for t, on in pd.concat(frames).sort_values(ts)[[ts, firing]].itertuples(index=False):
@@ -60,16 +70,24 @@ def alert_hold(ticks: DataFrame, key: str, ts: str, firing: str, hold_seconds: i
                 fired = True
                 out.append((*k, since, pd.Timestamp(since) + pd.Timedelta(seconds=hold_seconds)))
         state.update((since, fired, newest))
+        state.setTimeoutTimestamp(_expires(newest, zone, idle))
         yield pd.DataFrame(out, columns=[key, "since", "fires_at"])
 
-    return ticks.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, since timestamp, fires_at timestamp", "since timestamp, fired boolean, newest timestamp", "append", GroupStateTimeout.NoTimeout)
+    ticks = ticks.filter(F.col(ts).isNotNull()).withWatermark(ts, late)
+    return ticks.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, since timestamp, fires_at timestamp", "since timestamp, fired boolean, newest timestamp", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def monthly_spend(events: DataFrame, tenant: str, ts: str, cost: str) -> DataFrame:
-    """tenant, month, spent after each batch: the state of a tenant restarts with a new month; late costs of a month that is over are left out of the new one."""
-    kind = dict(events.dtypes)[tenant]
+    """tenant, month, spent after each batch: the state of a tenant restarts with a new month; late costs of a month that is over are left out of the new one.
+
+    Events without a time, or more than 31 days late, are ignored; a tenant without events for 62 days loses its state.
+    """
+    kind, zone = dict(events.dtypes)[tenant], events.sparkSession.conf.get("spark.sql.session.timeZone")
 
     def run(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         month, spent = state.get if state.exists else ("", 0.0)
         pdf = pd.concat(frames)
         by = pdf.groupby(pdf[ts].dt.strftime("%Y-%m"))[cost].sum().sort_index()
@@ -79,9 +97,11 @@ def monthly_spend(events: DataFrame, tenant: str, ts: str, cost: str) -> DataFra
             if m == month:
                 spent += float(c)
         state.update((month, spent))
+        state.setTimeoutTimestamp(_expires(pdf[ts].max(), zone, 62 * 86400))
         yield pd.DataFrame([(*k, month, spent)], columns=[tenant, "month", "spent"])
 
-    return events.groupBy(tenant).applyInPandasWithState(run, f"{tenant} {kind}, month string, spent double", "month string, spent double", "update", GroupStateTimeout.NoTimeout)
+    events = events.filter(F.col(ts).isNotNull()).withWatermark(ts, "31 days")
+    return events.groupBy(tenant).applyInPandasWithState(run, f"{tenant} {kind}, month string, spent double", "month string, spent double", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:

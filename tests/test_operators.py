@@ -1,5 +1,6 @@
 """Operators on small literal frames."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docwright.operators import metrics as M
 from docwright.operators import provenance as P
+from docwright.operators import records
 from docwright.operators import relational as R
 from docwright.operators import retrieval as E
 from docwright.operators import structure as S
@@ -182,7 +184,34 @@ def test_promql(spark, expression, want):
     assert [(a, pytest.approx(b)) for a, b in sorted(want, key=key)] == sorted(got, key=key)
 
 
-@pytest.mark.parametrize("bad", ["sum(", "hits[5m]", "rate(hits)", "nope(hits)", "1 +", "hits{a~\"x\"}"])
+@pytest.mark.parametrize("name", ["increase", "sum_over_time", "min_over_time", "max_over_time", "count_over_time", "avg_over_time"])
+def test_overlapping_windows_by_brute_force(spark, name):
+    rng = random.Random(5)
+    rows = [(job, T0 + timedelta(seconds=rng.randrange(20000)), float(rng.randrange(50))) for job in "ab" for _ in range(300)]
+    rows = list({(j, t): (j, t, v) for j, t, v in rows}.values())
+    df = spark.createDataFrame([("m", {"job": j}, t, v) for j, t, v in [*rows, ("a", T0, None)]], "metric string, labels map<string,string>, ts timestamp, value double")
+    at = [T0 + timedelta(seconds=37 * i) for i in range(400)] + [T0 - timedelta(days=1), T0]
+    got = {(r["at"], r["labels"]["job"]): r["value"] for r in promql.evaluate(f"{name}(m[13m] offset 90s)", df, at).collect()}
+    want = {}
+    for t in set(at):
+        for job in "ab":
+            upto = t - timedelta(seconds=90)
+            vs = [v for _, v in sorted((x, v) for j, x, v in rows if j == job and upto - timedelta(minutes=13) < x <= upto)]
+            if name == "increase":
+                if len(vs) > 1:
+                    want[t, job] = sum(b if b < a else b - a for a, b in zip(vs, vs[1:], strict=False))
+            elif vs:
+                want[t, job] = {"sum": sum(vs), "min": min(vs), "max": max(vs), "count": len(vs), "avg": sum(vs) / len(vs)}[name.split("_")[0]]
+    assert got == {k: pytest.approx(v) for k, v in want.items()} and len(got) > 500
+
+
+@pytest.mark.parametrize("first", range(9))
+def test_dyadic_runs_cover_each_segment_once(first):
+    for end in range(first, 40):
+        assert sorted(s for level, node in promql.dyadic(first, end) for s in range(node << level, (node + 1) << level)) == list(range(first, end))
+
+
+@pytest.mark.parametrize("bad", ["sum(", "hits[5m]", "rate(hits[0m])", "rate(hits)", "nope(hits)", "1 +", "hits{a~\"x\"}"])
 def test_promql_errors(spark, bad):
     with pytest.raises((promql.PromQLError, IndexError)):
         promql.evaluate(bad, series(spark), [T0])
@@ -239,6 +268,37 @@ def test_stateful_streams(spark, tmp_path):
     assert [tuple(r) for r in spark.sql("select * from spend").collect()] == [("x", "2024-02", 4.0)]
 
 
+def test_silent_keys_lose_their_state(spark, tmp_path):
+    folder = tmp_path / "t"
+    schema = "k string, ts timestamp, firing boolean"
+    minutes = [[("a", 0), ("a", 5)], [("b", 600)], [("b", 605)], [("a", 700)], [("a", 706), ("a", 712)]]
+    for batch in minutes:
+        spark.createDataFrame([(k, T0 + timedelta(minutes=m), True) for k, m in batch], schema).coalesce(1).write.mode("append").parquet(str(folder))
+        stream = SM.alert_hold(spark.readStream.schema(schema).parquet(str(folder)), "k", "ts", "firing", 600, late="1 minute", idle_seconds=3600)
+        SM.run_available(stream, str(tmp_path / "out"), str(tmp_path / "c"))
+    got = sorted((r["k"], r["since"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("a", T0 + timedelta(minutes=700))]
+
+
+def test_containing_by_brute_force(spark):
+    rng = random.Random(3)
+    words = lambda n: " ".join(rng.choice(("a", "bb", "c\nd", "", "é")) for _ in range(n))
+    texts = [(i, words(rng.randrange(40))) for i in range(150)] + [(200, None), (201, "")]
+    items = [(i, t[a : a + rng.randrange(1, 30)]) for i, t in texts[:60] for a in [rng.randrange(20)]] + [(300, None), (301, "a bb a bb zz c"), (302, "x")]
+    got = R.containing(spark.createDataFrame(texts, "d long, t string"), "d", "t", spark.createDataFrame(items, "i long, item string"), "i", "item")
+    want = sorted((d, i) for d, t in texts for i, x in items if t is not None and x is not None and x in t)
+    assert sorted((r["d"], r["i"]) for r in got.collect()) == want
+
+
+def test_jdbc_appends_in_batches(spark):
+    url = "jdbc:derby:memory:docwright;create=true"
+    df = spark.createDataFrame([(i, f"name {i}") for i in range(250)], "id long, name string")
+    for part in (df.filter("id < 100"), df.filter("id >= 100")):
+        records.write_jdbc(part, url, "items", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    got = spark.read.format("jdbc").options(url=url, dbtable="items", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").load()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, df.collect()))
+
+
 def test_replace_documents_keeps_the_others(spark, tmp_path):
     out = str(tmp_path / "chunks")
     row = lambda d, c: (c, d)
