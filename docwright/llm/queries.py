@@ -66,4 +66,4 @@ def op10_url_filter(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_ann, op3_bpe, op4_chat, op5_jaccard, op6_vector_dedup, op7_substring, op8_packing, op9_quality, op10_url_filter)}
-ORACLE_SQL = {"op4_chat": chat.ORACLE_SQL}
+ORACLE_SQL = {"op4_chat": chat.ORACLE_SQL, "op10_url_filter": url_filter.oracle_sql()}

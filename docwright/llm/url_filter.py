@@ -37,7 +37,7 @@ def url_path(url: Column) -> Column:
 def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     """struct(rule, verdict) of the longest rule that fits, null if none does.
 
-    A rule fits its host and every subdomain when the path starts with the rule's path. Equal lengths: allow wins.
+    A rule fits its host and every subdomain when the path starts with the rule's path. Equal lengths: allow wins, then the rule given last.
     """
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
     for verdict, h, p in sorted(rules, key=lambda r: (len(r[1]) + len(r[2]), r[0] == "allow")):
@@ -86,6 +86,29 @@ def _shrink(hosts: DataFrame, z: float) -> DataFrame:
     return hosts.join(domains, "domain").crossJoin(priors).select("host", "n", "g", mean.alias("good_rate"), (mean + z * F.sqrt(mean * (1 - mean) / (a + b + 1))).alias("upper"))
 
 
+def _strength_sql(groups: str, i: int) -> str:
+    m = "((G + 1) / (N + 2))"
+    within = f"({m} * (1 - {m}))"
+    rho = f"greatest((gg - G * G / nullif(N, 0) - (c - 1) * {within}) / nullif(N - nn / nullif(N, 0), 0) / {within}, 0.0)"
+    sums = f"SELECT coalesce(sum(n), 0)::DOUBLE AS N, coalesce(sum(g), 0)::DOUBLE AS G, count(*)::DOUBLE AS c, coalesce(sum(g::DOUBLE * g / n), 0) AS gg, coalesce(sum(n::DOUBLE * n), 0) AS nn FROM {groups} WHERE n > 0"
+    return f"SELECT {m} AS m{i}, round(least(greatest(CASE WHEN {rho} > 0 THEN (1 - {rho}) / {rho} ELSE {STRONGEST}::DOUBLE END, {WEAKEST}::DOUBLE), {STRONGEST}::DOUBLE), 6) AS k{i} FROM ({sums})"
+
+
+def oracle_sql(rules=RULES, z: float = Z, min_good: float = MIN_GOOD) -> str:
+    """DuckDB SQL for page_id, host, path, rule, verdict over the tables pages and labels."""
+    fits = [(f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN", h + p, v) for v, h, p in reversed(sorted(rules, key=lambda r: (len(r[1]) + len(r[2]), r[0] == "allow")))]
+    rule, verdict = (" ".join(f"{when} '{r[k]}'" for when, *r in fits) for k in (0, 1))
+    return rf"""WITH seen AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+outcome AS (SELECT doc_id AS page_id, min(CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END) AS good FROM labels WHERE quality IS NOT NULL GROUP BY 1),
+counted AS (SELECT host, string_split(host, '.') AS p, count(good) AS n, coalesce(sum(good), 0)::BIGINT AS g FROM seen LEFT JOIN outcome USING (page_id) GROUP BY 1),
+hosts AS (SELECT host, n, g, array_to_string(list_slice(p, greatest(len(p) - 1, 1), len(p)), '.') AS domain, list_extract(p, -1) AS suffix FROM counted),
+domains AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(g)::BIGINT AS g FROM hosts GROUP BY 1, 2), suffixes AS (SELECT suffix, sum(n)::BIGINT AS n, sum(g)::BIGINT AS g FROM domains GROUP BY 1),
+priors AS (SELECT * FROM ({_strength_sql("suffixes", 0)}), ({_strength_sql("domains", 1)}), ({_strength_sql("hosts", 2)})),
+s AS (SELECT suffix, (g + k0 * m0) / (n + k0) AS above FROM suffixes, priors), d AS (SELECT domain, (g + k1 * above) / (n + k1) AS mean FROM domains JOIN s USING (suffix), priors),
+h AS (SELECT host, g + k2 * mean AS a, n - g + k2 * (1 - mean) AS b FROM hosts JOIN d USING (domain), priors), r AS (SELECT host, a / (a + b) + {z} * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) AS upper FROM h)
+SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} ELSE CASE WHEN upper < {min_good} THEN 'block' ELSE 'allow' END END AS verdict FROM seen LEFT JOIN r USING (host)"""
+
+
 def filter_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, z: float = Z, min_good: float = MIN_GOOD) -> DataFrame:
     """page_id, host, path, rule, verdict, good_rate, upper for every page.
 

@@ -1,11 +1,14 @@
 """Each operator against brute force, and its edge cases."""
 
+import glob
 import hashlib
 import itertools
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -594,7 +597,38 @@ def brute_url(url):
     return host, path, best
 
 
-def test_url_filter(spark):
+def sql_rows(folder, sql):
+    con = duckdb.connect()
+    for name in ("pages", "labels", "conversations"):
+        if glob.glob(f"{folder}/{name}.parquet"):
+            con.execute(f"create view {name} as select * from read_parquet('{folder}/{name}.parquet{'/*.parquet' if os.path.isdir(f'{folder}/{name}.parquet') else ''}')")
+    result = con.execute(sql)
+    return [d[0] for d in result.description], result.fetchall()
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_its_sql(spark, sf, name):
+    columns, rows = sql_rows(sf, queries.ORACLE_SQL[name])
+    got = queries.QUERIES[name](spark, sf)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(repr, rows)) == sorted(repr(tuple(r)) for r in got.select(*columns).collect())
+
+
+@pytest.mark.parametrize("first", ["allow", "block"])
+def test_of_rules_of_one_length_allow_wins(spark, first):
+    both = sorted([("allow", "a.io", "/x"), ("block", "io", "/x/y"), ("block", "b.io", "/x"), ("allow", "io", "/x/z")], key=lambda r: r[0] != first)
+    urls = spark.createDataFrame([(0, "http://a.io/x/y"), (1, "http://b.io/x/z"), (2, "http://b.io/x/y"), (3, "http://a.io/xy")], "page_id long, url string")
+    out = url_filter.filter_urls(urls, spark.createDataFrame([], "doc_id long, quality int, toxic int"), rules=both)
+    # a.io/x and io/x/y have six characters each; so have b.io/x and io/x/z.
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in out.collect()} == {0: ("a.io/x", "allow"), 1: ("io/x/z", "allow"), 2: (out_rule(both), "block"), 3: ("a.io/x", "allow")}
+
+
+def out_rule(rules):
+    """Of two rules with one verdict and length, the one given last."""
+    return [h + p for v, h, p in rules if v == "block"][-1]
+
+
+def test_url_filter(spark, tmp_path):
     urls = [None, "", "nothing", "http://", "HTTP://A.Example.COM/en/7x?y#z", "http://com/en/", "http://xcom/en/", "http://a.net/de/8", "http://example.net/de/8/1", "https://b.org/es/x", "http://É.org#f://q", "http://a\nb.com/en/\n?x", "x://y://z/en/", "http://bad.example.io/1", "http://example.com?a=/en/"]
     pages = [(i, u, "<p>", "h") for i, u in enumerate(urls)] + [(1000 + i, "http://bad.host.io/" + str(i), None, "h") for i in range(60)] + [(2000 + i, "http://good.host.io/" + str(i), None, "h") for i in range(60)] + [(None, "http://a.com/", None, "h"), (1000, "http://bad.host.io/0", None, "h")]
     labels = [(1000 + i, 0, 0) for i in range(40)] + [(2000 + i, 1, 0) for i in range(40)] + [(2000, None, 0), (None, 1, 1), (1001, 1, None)]
@@ -610,6 +644,10 @@ def test_url_filter(spark):
             assert by[i]["verdict"] == rule[1]
     assert by[1000]["verdict"] == "block" and by[2000]["verdict"] == "allow"
     assert by[1000]["good_rate"] < by[13]["good_rate"] < by[2000]["good_rate"]
+    p.write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    columns, rows = sql_rows(str(tmp_path), url_filter.oracle_sql())
+    assert sorted(map(repr, rows)) == sorted(repr(tuple(r[c] for c in columns)) for r in got)
     assert url_filter.filter_urls(p.limit(0), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
     assert url_filter.filter_urls(p, spark.createDataFrame([], "doc_id long, quality int, toxic int")).filter("rule is null and verdict = 'block'").count() == 0
 
