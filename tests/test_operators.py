@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from docwright.functions.tokens import BpeCounter
 from docwright.operators import metrics as M
 from docwright.operators import provenance as P
 from docwright.operators import records
@@ -139,6 +140,19 @@ def test_chunker():
     assert S.budget_chunks("a b") == S.budget_chunks("a  b") and len(S.budget_chunks("word " * 300)) > 2
 
 
+def test_subword_counts(spark):
+    vocabularies = pytest.importorskip("public_tokenizers")
+    tokenizer = pytest.importorskip("tokenizers").Tokenizer.from_file(vocabularies.path("byte_bpe_50k.json"))
+    size = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
+    counter = BpeCounter(vocabularies.path("byte_bpe_50k.json"))
+    texts = ["", None, "internationalisation of antidisestablishment", "\n\n 12,345.67 €", "x" * 5000]
+    got = records.token_counts(spark.createDataFrame(list(enumerate(texts)), "i long, t string"), "t", counter).collect()
+    assert {r["i"]: r["n_tokens"] for r in got} == {i: size(t) if t else 0 for i, t in enumerate(texts)}
+    long = "# Antidisestablishment\n" + " ".join(f"Incomprehensibilities {i} were unquestionably institutionalised." for i in range(120))
+    chunks = S.Chunker(count=counter).chunks(long, "d")
+    assert len(chunks) > len(S.Chunker().chunks(long, "d")) and all(size(c["content"]) <= 400 for c in chunks)
+
+
 def test_provenance(spark):
     d = spark.createDataFrame([("u1", "text"), ("u0", "text")], "url string, text string")
     docs = P.register_documents(d, F.col("url"))
