@@ -23,6 +23,9 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+# F.trim takes the characters to cut as a second argument: handed to F.transform by itself, it is given the position of the element.
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")
@@ -78,7 +81,7 @@ def strip_filing_marks(text: Column, urls: bool = False) -> Column:
 def phrases(text: Column) -> Column:
     """Lines and phrases (split at double blanks), trimmed, one a line, without empty ones."""
     parts = F.flatten(F.transform(F.split(text, "\n"), lambda s: F.split(F.trim(s), "  ")))
-    return F.array_join(F.filter(F.transform(parts, F.trim), lambda s: s != ""), "\n")
+    return F.array_join(F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != ""), "\n")
 
 
 def words(text: Column) -> Column:
@@ -281,5 +284,5 @@ FINANCE = {
 
 def entities(text: Column, patterns: dict[str, str]) -> Column:
     """Map from entity type to its sorted distinct mentions, for the types that occur; case does not count."""
-    made = [F.struct(F.lit(k).alias("key"), F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit("(?i)" + p), F.lit(0)), F.trim))).alias("value")) for k, p in patterns.items()]
+    made = [F.struct(F.lit(k).alias("key"), F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit("(?i)" + p), F.lit(0)), lambda m: F.trim(m)))).alias("value")) for k, p in patterns.items()]
     return F.map_from_entries(F.filter(F.array(*made), lambda e: F.size(e["value"]) > 0))

@@ -127,6 +127,15 @@ def test_entities(spark):
     assert one(spark, text.keyword_sentences(F.lit("Short revenue. " + "The revenue of the whole company grew by a great deal in that year. " + "No"), F.lit("H "))) == "H The revenue of the whole company grew by a great deal in that year."
 
 
+def test_phrases_keep_their_digits(spark):
+    assert one(spark, text.phrases(F.lit("05 10  12 21 \n   3 of 20  \n  \n40"))) == "05 10\n12 21\n3 of 20\n40"
+
+
+def test_entities_keep_their_digits(spark):
+    e = one(spark, text.entities(F.lit("0 days, then 11 days; 0 beds"), text.HEALTHCARE))
+    assert e["TIME_VALUE"] == ["0 days", "11 days"] and e["COUNT_VALUE"] == ["0 beds"]
+
+
 def test_vectors(spark):
     a = lambda *v: F.array(*[F.lit(float(x)).cast("float") for x in v])
     assert one(spark, vectors.cosine(a(1, 0), a(1, 1))) == pytest.approx(0.5**0.5) and one(spark, vectors.cosine(a(0, 0), a(1, 1))) is None
