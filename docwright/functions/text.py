@@ -47,7 +47,7 @@ def drop_boilerplate(text: Column) -> Column:
 def normalize_whitespace(text: Column) -> Column:
     """Runs of blanks to one, tabs to blanks, three and more line breaks to two, lines trimmed; in this order."""
     t = F.regexp_replace(F.replace(F.regexp_replace(text, " {2,}", " "), F.lit("\t"), F.lit(" ")), "\n{3,}", "\n\n")
-    return F.array_join(F.transform(F.split(t, "\n"), F.trim), "\n")
+    return F.array_join(F.transform(F.split(t, "\n"), lambda s: F.trim(s)), "\n")
 
 
 def one_line(text: Column) -> Column:

@@ -131,6 +131,10 @@ def test_phrases_keep_their_digits(spark):
     assert one(spark, text.phrases(F.lit("05 10  12 21 \n   3 of 20  \n  \n40"))) == "05 10\n12 21\n3 of 20\n40"
 
 
+def test_whitespace_trims_blanks_only(spark):
+    assert one(spark, text.normalize_whitespace(F.lit("05  10 \n\t 121 \n 2 of 32\n\n\n\n40"))) == "05 10\n121\n2 of 32\n\n40"
+
+
 def test_entities_keep_their_digits(spark):
     e = one(spark, text.entities(F.lit("0 days, then 11 days; 0 beds"), text.HEALTHCARE))
     assert e["TIME_VALUE"] == ["0 days", "11 days"] and e["COUNT_VALUE"] == ["0 beds"]
