@@ -117,6 +117,18 @@ def test_header_rows_and_types(spark):
     assert kind("Consolidated Balance Sheets") == "balance_sheet" and kind("Net sales") == "other" and kind("Operating lease cost") == "lease_obligations"
 
 
+def test_amounts_are_no_years(spark):
+    rows = [["", "Years ended"], ["", "2024", "2023"], ["Net sales", "$1999", "$383,285"], ["Loss", "(1,234)", "12.5%"]]
+    t = spark.createDataFrame([(1, 0, None, rows)], "id int, position int, caption string, rows array<array<string>>")
+    both = [S.process_tables(t, strict_reference=strict).select("header_count", F.size("data_rows")).first() for strict in (False, True)]
+    assert list(map(tuple, both)) == [(2, 2), (3, 1)]
+    count = lambda *r: spark.createDataFrame([(list(r),)], "r array<array<string>>").select(S.header_rows(F.col("r")).alias("n")).first()["n"]
+    head = ["", "2024"]
+    assert [count(head, ["Cash", c], ["Debt", "5"]) for c in ("$2001", "€ 1999", "($2000)", "$(2000)")] == [1] * 4
+    # Years stay years beside amounts, and at the place of a row whose number they begin or end with.
+    assert count(head, ["$5 notes due", "2031"], ["Debt", "5"]) == 2 and count(["", "2011"], ["2010", "2021"], ["Debt", "5"]) == 2
+
+
 def test_chunker():
     c = S.Chunker()
     short = c.chunks("# A\nfew words here", "d")
