@@ -129,6 +129,13 @@ def test_amounts_are_no_years(spark):
     assert count(head, ["$5 notes due", "2031"], ["Debt", "5"]) == 2 and count(["", "2011"], ["2010", "2021"], ["Debt", "5"]) == 2
 
 
+def test_values_of_the_first_data_row(spark):
+    rows = [["", "Sept 2024", "Sept 2023"], ["Net sales", "$1901", "$2000"], ["Loss", "(1,234)", "12.5%"]]
+    t = spark.createDataFrame([(1, 0, None, rows)], "id int, position int, caption string, rows array<array<string>>")
+    v = S.process_tables(t, values=True).select(F.expr("transform(values[0], c -> struct(c.value_type, double(c.value)))").alias("v")).first()["v"]
+    assert list(map(tuple, v)) == [("text", None), ("currency", 1901.0), ("currency", 2000.0)]
+
+
 def test_chunker():
     c = S.Chunker()
     short = c.chunks("# A\nfew words here", "d")
