@@ -29,11 +29,32 @@ def increase(samples: DataFrame, keys: Sequence[str], ts: str, value: str, bucke
     return samples.withColumn("_d", delta).groupBy(*keys, bucket.alias("bucket")).agg(F.sum("_d").alias(name))
 
 
+#: Blocks of time in a window of avg_over_time, and the least microseconds of a block.
+BLOCKS, LEAST_BLOCK = 168, 60_000_000
+
+
 def avg_over_time(samples: DataFrame, keys: Sequence[str], ts: str, value: str, seconds: int) -> DataFrame:
-    """Adds the mean over the seconds up to and with each sample."""
-    w = Window.partitionBy(*keys).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
+    """Adds the mean over the seconds up to and with each sample.
+
+    A sample enters a running sum at its time and leaves it once the seconds are over, so the work does not grow with the
+    samples of a window. Time is cut into blocks, each begins with the sum of those before it, and a task sums a block of a key.
+    """
+    span = seconds * 1_000_000
+    every = max(span // BLOCKS, LEAST_BLOCK)
+    block = F.col("_at") - F.pmod("_at", F.lit(every))
     # Decimals sum to the same in any order.
-    return samples.withColumn("avg_over_time", F.sum(F.col(value).cast("decimal(28,6)")).over(w).cast("double") / F.count(value).over(w))
+    amount, n = F.col(value).cast("decimal(28,6)").cast("decimal(38,6)"), F.col(value).isNotNull().cast("long")
+    own = samples.withColumns({"_at": F.unix_micros(F.col(ts).cast("timestamp")), "_sum": amount, "_n": n}).withColumns({"_block": block, "_own": F.lit(True)})
+    enter = own.select(*keys, "_at", "_sum", "_n").filter("_at IS NOT NULL")
+    leave = enter.select(*keys, (F.col("_at") + span + 1).alias("_at"), (-F.col("_sum")).alias("_sum"), (-F.col("_n")).alias("_n"))
+    totals = enter.union(leave).groupBy(*keys, block.alias("_block")).agg(F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(*keys, (F.col("_block") - 1).alias("_at"), F.sum("_sum").over(before).alias("_sum"), F.sum("_n").over(before).alias("_n"), "_block")
+    moves = leave.withColumn("_block", block).unionByName(carry).withColumn("_own", F.lit(False))
+    w = Window.partitionBy(*keys, "_block").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    total, count = F.sum("_sum").over(w).cast("double"), F.sum("_n").over(w)
+    summed = own.unionByName(moves, allowMissingColumns=True).withColumn("avg_over_time", F.when(count > 0, total / count))
+    return summed.filter("_own").drop("_at", "_sum", "_n", "_block", "_own")
 
 
 def offset(series: DataFrame, keys: Sequence[str], bucket: str, value: str, by: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on small literal frames."""
 
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -13,7 +14,7 @@ from docwright.operators import records
 from docwright.operators import relational as R
 from docwright.operators import retrieval as E
 from docwright.operators import structure as S
-from docwright.plans import promql
+from docwright.plans import catalogue, promql
 from docwright.sources import connectors as C
 from docwright.sources import fetch as fetch_module
 from docwright.sources import html as H
@@ -56,6 +57,36 @@ def ticks(spark, minutes):
     return spark.createDataFrame([("a", T0 + timedelta(minutes=m), on) for m, on in minutes], "k string, ts timestamp, firing boolean")
 
 
+def test_avg_over_time(spark):
+    rng = random.Random(7)
+    at = lambda: rng.choice([None, *[T0 + timedelta(seconds=rng.choice((1, 60, 3600)) * rng.randrange(90), microseconds=rng.choice((0, 1)))] * 30])
+    rows = [(i, rng.choice(("a", "b", None)), at(), rng.choice((None, round(rng.uniform(-9, 9), 2), 5.0))) for i in range(600)]
+    s = spark.createDataFrame(rows, "i int, k string, ts timestamp_ntz, v double")
+    for seconds in (1, 60, 7200):
+
+        def mean(key, t, seconds=seconds):
+            w = [v for _, k, u, v in rows if k == key and v is not None and (u is None if t is None else u is not None and t - timedelta(seconds=seconds) <= u <= t)]
+            return sum(w) / len(w) if w else None
+
+        got = M.avg_over_time(s, ["k"], "ts", "v", seconds)
+        assert got.columns == ["i", "k", "ts", "v", "avg_over_time"]
+        assert {r["i"]: r["avg_over_time"] for r in got.collect()} == {i: None if (m := mean(k, t)) is None else pytest.approx(m, abs=1e-9) for i, k, t, _ in rows}
+
+
+def test_avg_over_time_does_not_grow_with_its_window(spark):
+    s = spark.range(60_000).select(F.lit("a").alias("k"), F.timestamp_micros(F.col("id") * 1_000_000).alias("ts"), F.lit(1.0).alias("v"))
+    begun = time.time()
+    assert M.avg_over_time(s, ["k"], "ts", "v", 10**7).agg(F.sum("avg_over_time")).first()[0] == 60_000
+    assert time.time() - begun < 30
+
+
+def test_avg_over_time_rounds_halves_up(spark, tmp_path):
+    """91241.54 / 1856 is 49.1603125, and an ulp less in double precision."""
+    value = F.when(F.col("id") == 0, 49.74).otherwise(49.16)
+    spark.range(1856).select(F.col("id").alias("event_id"), F.lit(T0).cast("timestamp_ntz").alias("ts"), F.lit("a").alias("event_type"), value.alias("value")).write.parquet(f"{tmp_path}/events.parquet")
+    assert {r["avg_over_time"] for r in catalogue.QUERIES["avg_over_time"](spark, str(tmp_path)).collect()} == {49.160313}
+
+
 def test_alert_hold(spark):
     hold = lambda rows: [tuple(r)[1:] for r in M.alert_hold(ticks(spark, rows), ["k"], "ts", F.col("firing"), 600).collect()]
     on = lambda n: [(m, True) for m in range(n + 1)]
