@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docwright.functions.vectors import cosine
+from docwright.functions.vectors import dot
 
 #: Query vectors of a block and chunks of a shard.
 BLOCK, SHARD = 1024, 16384
+#: By expressions: chunks that give a bound, pairs of a task, and the most components that stand in a pair's expression (a JVM leaves long methods uncompiled).
+FIRST, PAIRS, WIDE = 1024, 1 << 22, 128
 
 
 def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, digits: int = 6, tenant: str | None = None, exact: bool = True) -> DataFrame:
@@ -70,10 +74,46 @@ def _best(queries: pd.DataFrame, chunks: pd.DataFrame, k: int, digits: int, kept
 
 
 def _pairs(queries: DataFrame, chunks: DataFrame, k: int, digits: int) -> DataFrame:
-    """The same by expressions, for few queries against few chunks: every pair is a row."""
-    q = queries.select("query_id", F.col("embedding").alias("q"))
-    pairs = chunks.join(q, F.col("vec_id") != F.col("query_id"))
-    return ranked(pairs.select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), digits).alias("score")), k)
+    """The same by expressions. Vectors that are null, zero or hold null or non-finite components take no part, and only equal lengths meet.
+
+    Each query is first compared with ``FIRST`` chunks; the k-th score among them is a bound that its k nearest cannot lie
+    below, so of all pairs, which are compared in generated code, only those that reach the bound become rows.
+    """
+
+    def measured(df: DataFrame, key: str, e: str) -> DataFrame:
+        v = F.col("embedding").cast("array<double>")
+        d = df.select(key, F.col("embedding").alias(e), F.size(v).alias(f"{e}_size"), F.sqrt(dot(v, v)).alias(f"{e}_norm"))
+        return d.filter(F.col(f"{e}_norm").between(sys.float_info.min, sys.float_info.max))
+
+    def spread(df: DataFrame, e: str) -> DataFrame:
+        """Components as columns, which a pair's generated code reads without checks."""
+        if size > WIDE:
+            return df
+        return df.select(*[x for x in df.columns if x != e], *[F.coalesce(F.get(e, F.lit(i)).cast("double"), F.lit(0.0)).alias(f"{e}_{i}") for i in range(size)])
+
+    q, c = measured(queries, "query_id", "q"), measured(chunks, "vec_id", "c")
+    n, size = q.agg(F.count(F.lit(1)), F.coalesce(F.max("q_size"), F.lit(0))).first()
+    n_chunks = c.count()
+    q = spread(q, "q")
+    product = dot(F.col("c"), F.col("q")) if size > WIDE else reduce(lambda s, i: s + F.col(f"c_{i}") * F.col(f"q_{i}"), range(size), F.lit(0.0))
+    score = F.round(F.try_divide(product, F.col("c_norm") * F.col("q_norm")), digits)
+    others = (F.col("vec_id") != F.col("query_id")) & (F.col("c_size") == F.col("q_size"))
+    blocks = max(1, -(-n // SHARD))
+
+    def met(c: DataFrame, tasks: int, wanted: Column, q: DataFrame) -> DataFrame:
+        c, out = spread(c.repartition(tasks), "c"), []
+        for b in range(blocks):
+            block = q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else q
+            out.append(c.join(F.broadcast(block), wanted).select("query_id", "vec_id", score.alias("score")))
+        return reduce(DataFrame.union, out)
+
+    if n_chunks > FIRST:
+        first = met(c.limit(FIRST), -(-n * FIRST // PAIRS) + 1, others, q)
+        bounds = first.groupBy("query_id").agg(F.try_element_at(F.sort_array(F.collect_list("score"), asc=False), F.lit(k)).alias("bound"))
+        least = (F.col("bound") - 2 * 10.0**-digits) * F.col("q_norm")
+        q = q.join(bounds, "query_id", "left").withColumn("least", F.coalesce(least, F.lit(float("-inf")))).drop("bound")
+        others &= product >= F.col("least") * F.col("c_norm")
+    return ranked(met(c, -(-n * n_chunks // PAIRS) + 1, others, q), k)
 
 
 def ranked(scores: DataFrame, k: int) -> DataFrame:

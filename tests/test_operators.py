@@ -389,6 +389,22 @@ def test_exact_topk_in_blocks(spark, monkeypatch):
     assert {r["vec_id"] < 10 for r in E.vector_topk(q, tagged, 3, tenant="a").collect()} == {True}
 
 
+@pytest.mark.parametrize("wide", [4, 128])
+def test_topk_by_expressions_with_bounds(spark, monkeypatch, wide):
+    """Few chunks give the bounds, queries stand in several blocks, and many scores are equal."""
+    for name, n in (("FIRST", 8), ("SHARD", 3), ("PAIRS", 50), ("WIDE", wide)):
+        monkeypatch.setattr(E, name, n)
+    rng = random.Random(3)
+    rows = [(i, [float(rng.randrange(-2, 3)) for _ in range(5)] + [1.0]) for i in range(60)]
+    odd = [(100, None), (101, [0.0] * 6), (102, [1.0, None, 0.0, 0.0, 0.0, 1.0]), (103, [float("nan")] * 6), (104, [1.0]), (105, [])]
+    v = lambda r: spark.createDataFrame(r, "vec_id long, embedding array<float>")
+    key = lambda df: sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in df.collect())
+    q = v(rows).filter("vec_id < 7").withColumnRenamed("vec_id", "query_id")
+    want = key(E.vector_topk(q, v(rows), 4))
+    all_queries = q.union(v(odd).filter("vec_id <> 104"))
+    assert len(want) == 28 and key(E.vector_topk(all_queries, v(rows + odd), 4, exact=False)) == want
+
+
 def test_deep_pages_and_wide_cells():
     deep = "<div>" * 100_000 + "long enough" + "</div>" * 100_000
     assert H.clean(deep) == "long enough"
