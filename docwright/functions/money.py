@@ -76,24 +76,25 @@ def scale_multiplier(scale: Column) -> Column:
     return F.when(scale == "billions", 1e9).when(scale == "millions", 1e6).when(scale == "thousands", 1e3).otherwise(1.0)
 
 
-def cell_value(cell: Column, context: Column) -> Column:
+def cell_value(cell: Column, context: Column, strict_reference: bool = False) -> Column:
     """struct(value_type, value, currency, scale, is_negative) of a table cell.
 
     Blank cells are text. A cell with % is a percentage. What is a number once symbols and signs are gone is currency (with
     a symbol), shares (the context speaks of shares and there is no point) or integer; without a symbol the currency is USD.
-    Negative by a parenthesis, or by a leading minus or dash.
+    Negative by a parenthesis, or by a leading minus or dash, also behind the symbol ("$-5"; with strict_reference its sign is
+    lost). Values have up to 28 digits before the point and 10 behind it.
     """
     t = F.trim(F.coalesce(cell, F.lit("")))
     bare = F.regexp_replace(t, NOT_NUMBER, "")
     percent = F.contains(t, F.lit("%"))
     is_number = (t != "") & ~percent & bare.rlike(NUMBER)
-    negative = F.when(percent, F.contains(t, F.lit("(")) | F.contains(t, F.lit("-"))).otherwise(F.contains(t, F.lit("(")) | t.rlike("^[-—]"))
+    negative = F.when(percent, F.contains(t, F.lit("(")) | F.contains(t, F.lit("-"))).otherwise(F.contains(t, F.lit("(")) | t.rlike("^[-—]" if strict_reference else r"^[$€£¥]?\s*[-—]"))
     share = F.contains(F.lower(F.coalesce(context, F.lit(""))), F.lit("share")) & ~F.contains(t, F.lit("."))
     symbol = F.lit(None).cast("string")
     for s, name in reversed(SYMBOLS.items()):
         symbol = F.when(F.contains(t, F.lit(s)), name).otherwise(symbol)
     first = F.nullif(F.regexp_extract(t, r"(\d+(?:\.\d+)?)", 1), F.lit(""))
-    size = F.when(percent, first.try_cast("decimal(20,6)")).when(is_number, F.abs(bare.try_cast("decimal(20,6)")))
+    size = F.when(percent, first.try_cast(WIDE)).when(is_number, F.abs(bare.try_cast(WIDE)))
     kind = F.when(percent & first.isNotNull(), "percentage").when(is_number & share, "shares").when(is_number & symbol.isNotNull(), "currency").when(is_number, "integer").otherwise("text")
     return F.struct(
         kind.alias("value_type"),
@@ -104,9 +105,9 @@ def cell_value(cell: Column, context: Column) -> Column:
     )
 
 
-def parse_table(rows: Column, caption: Column) -> Column:
+def parse_table(rows: Column, caption: Column, strict_reference: bool = False) -> Column:
     """cell_value of every cell of rows (arrays of arrays), with the caption as context."""
-    return F.transform(rows, lambda r: F.transform(r, lambda c: cell_value(c, caption)))
+    return F.transform(rows, lambda r: F.transform(r, lambda c: cell_value(c, caption, strict_reference)))
 
 
 def unit_of(text: Column) -> Column:

@@ -154,7 +154,7 @@ def process_tables(tables: DataFrame, values: bool = False, strict_reference: bo
     for name, parts in EXPECTED.items():
         expected = F.when(F.col("table_type") == name, F.array(*map(F.lit, parts))).otherwise(expected)
     t = t.withColumn("expected_sections", expected)
-    return t.withColumn("values", money.parse_table(F.col("data_rows"), F.col("caption"))) if values else t
+    return t.withColumn("values", money.parse_table(F.col("data_rows"), F.col("caption"), strict_reference)) if values else t
 
 
 def primary_statements(processed: DataFrame, key: str) -> DataFrame:

@@ -39,7 +39,7 @@ def page_metadata(spark, sf_dir):
 
 def _tables(spark, sf_dir):
     before, after = TABLE_HTML.split("{page_id}")
-    p = table(spark, sf_dir, "pages").select("page_id", F.concat("html", F.lit(before), F.col("page_id").cast("string"), F.lit(after)).alias("html"))
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.coalesce("html", F.lit("")), F.lit(before), F.col("page_id").cast("string"), F.lit(after)).alias("html"))
     return S.process_tables(H.table_rows(p, "page_id"), values=True)
 
 

@@ -35,6 +35,15 @@ def test_cell_value(spark, cell, context, want):
     assert tuple(one(spark, money.cell_value(F.lit(cell).cast("string"), F.lit(context).cast("string")))) == want
 
 
+def test_cell_value_of_wide_and_signed_amounts(spark):
+    v = lambda c, **k: tuple(one(spark, money.cell_value(F.lit(c), F.lit(""), **k)))
+    assert v("$1,000,000,000,002,499") == ("currency", Decimal(1000000000002499), "USD", None, False)
+    assert v("123456789012345678901234567.5") == ("integer", Decimal("123456789012345678901234567.5"), "USD", None, False)
+    assert v("$-5") == v("$ -5") == v("-$5") == ("currency", Decimal(-5), "USD", None, True) and v("€ —5")[1] == -5
+    assert v("0.12345678")[1] == Decimal("0.12345678")
+    assert v("$-5", strict_reference=True) == ("currency", Decimal(5), "USD", None, False) and v("-$5", strict_reference=True)[1] == -5
+
+
 def test_gold_values(spark):
     v = lambda t, u, **k: one(spark, money.in_millions(F.lit(t), F.lit(u), **k))
     assert v("$383,285", "millions") == 383285 and v("(1,234)", "thousands") == Decimal("-1.234")

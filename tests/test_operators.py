@@ -167,6 +167,14 @@ def test_values_of_the_first_data_row(spark):
     assert list(map(tuple, v)) == [("text", None), ("currency", 1901.0), ("currency", 2000.0)]
 
 
+def test_table_values_of_any_page(spark, tmp_path):
+    """Amounts of fifteen and more digits, signs behind the symbol, and pages without html."""
+    ids = [5, 99999999999999, 100000000000001, 1000000000002499, 2**62 + 1025, 2**63 - 1, -1, -1999, -(2**62), -(2**63)]
+    spark.createDataFrame([(i, "u", None if i == 5 else "<p>a<br>") for i in ids], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {(r["page_id"], r["cell"]): (r["value"], r["value_type"]) for r in catalogue.QUERIES["table_values"](spark, str(tmp_path)).collect()}
+    assert got == {(i, c): v for i in ids for c, v in enumerate([(None, "text"), (float(i), "currency"), (383285.0, "currency")])}
+
+
 def test_chunker():
     c = S.Chunker()
     short = c.chunks("# A\nfew words here", "d")
